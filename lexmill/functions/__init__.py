@@ -1,0 +1 @@
+"""Part of lexmill, a Spark-native corpus ledger and analytics engine."""
