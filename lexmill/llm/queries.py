@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import secrets, toxicity
+from lexmill.llm import secrets, token_output, toxicity
 from lexmill.session import table
 
 
@@ -19,9 +19,14 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(documents, toxicity.fit(documents, table(spark, sf_dir, "labels")))
 
 
+def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.round_trip(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secret_scan": op3_secret_scan,
     "op9_toxicity": op9_toxicity,
+    "op10_token_output": op10_token_output,
 }
 
 ORACLE_SQL: dict[str, str] = {}
