@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import secrets, token_output, toxicity
+from lexmill.llm import mixing, secrets, token_output, toxicity
 from lexmill.session import table
 
 
@@ -23,10 +23,17 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.amounts(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secret_scan": op3_secret_scan,
+    "op7_mixing": op7_mixing,
     "op9_toxicity": op9_toxicity,
     "op10_token_output": op10_token_output,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_mixing": mixing.ORACLE_SQL,
+}
