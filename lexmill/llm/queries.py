@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import mixing, secrets, token_output, toxicity
+from lexmill.llm import fingerprints, mixing, secrets, token_output, toxicity
 from lexmill.session import table
 
 
@@ -27,8 +27,13 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.amounts(table(spark, sf_dir, "documents"))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.near_edits(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secret_scan": op3_secret_scan,
+    "op4_fingerprints": op4_fingerprints,
     "op7_mixing": op7_mixing,
     "op9_toxicity": op9_toxicity,
     "op10_token_output": op10_token_output,
