@@ -2,8 +2,8 @@
 
 Terms are lower-case words (runs of characters other than space and 9 to 13), weighted by how often the text has them; a
 text without words has the empty word once.  For each of SAMPLES samples and each term, gamma(2, 1) draws r and c and a
-uniform draw b come from hashes of term and sample; a term of weight w gets t = floor(ln w / r + b) and the value
-ln c - r (t - b) - r, and the sample is the (term, t) of the least value.  Two texts agree in a sample with a probability
+uniform draw b come from a hash of term and sample; a term of weight w gets t = floor(ln w / r + b) and the value
+c exp(-r (t - b + 1)), and the sample is the (term, t) of the least value.  Two texts agree in a sample with a probability
 equal to their generalised Jaccard similarity, so the share of equal samples estimates it.
 
 Order for "the next document": descending doc_id, null ids last, equal ids by a hash of the text; after the last comes the
@@ -20,16 +20,20 @@ from pyspark.sql import functions as F
 
 from lexmill.llm.common import partitions, stored
 
-SAMPLES = 64
+SAMPLES = 32
+#: Samples that share a term's r and b; their c differ, so each still agrees with the right probability.
+SHARED = 2
 #: Hex digits of a sample in the fingerprint.
 DIGITS = 4
-_KEY = ("doc_id", "text_hash")
+#: Stands for a null id, so that keys are never null.
+NO_ID = -(1 << 63)
+_KEY = ("id", "text_hash")
 
 
 def following(rows: DataFrame) -> DataFrame:
-    """rows (distinct in doc_id, text_hash; small ones) with next_doc_id and next_text_hash in the circular order."""
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text_hash")]
-    dealt = stored(rows.repartitionByRange(partitions(rows.sparkSession), F.col("doc_id").desc_nulls_last()).withColumn("part", F.spark_partition_id()), "fingerprint-order")
+    """rows (distinct in id, text_hash; small ones) with next_id and next_text_hash in the circular order."""
+    order = [F.col("id").desc(), F.col("text_hash")]
+    dealt = stored(rows.repartitionByRange(partitions(rows.sparkSession), F.col("id").desc()).withColumn("part", F.spark_partition_id()), "fingerprint-order")
     own = Window.partitionBy("part").orderBy(*order)
     pair = F.struct(*_KEY)
     # One row for each part; its first row follows the last row of the part before.
@@ -37,40 +41,38 @@ def following(rows: DataFrame) -> DataFrame:
     begin = Window.orderBy("part")
     after = firsts.select(F.col("part").alias("at"), F.coalesce(F.lead("first").over(begin), F.first("first").over(begin.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("after"))
     led = dealt.withColumn("next", F.lead(pair).over(own)).join(F.broadcast(after), F.col("part") == F.col("at"))
-    return led.withColumn("next", F.coalesce("next", "after")).select(*rows.columns, F.col("next.doc_id").alias("next_doc_id"), F.col("next.text_hash").alias("next_text_hash"))
+    return led.withColumn("next", F.coalesce("next", "after")).select(*rows.columns, F.col("next.id").alias("next_id"), F.col("next.text_hash").alias("next_text_hash"))
 
 
-def _weights(text: Column) -> Column:
-    """Array of (hash, weight) of the text's terms: the sorted words, their first places, and the gaps between those."""
-    words = F.sort_array(F.split(F.btrim(F.lower(text), F.lit(" \t\n\x0b\x0c\r")), "[\\x20\\x09-\\x0D]+"))
+def _share(bits: Column, at: int, n: int) -> Column:
+    """A uniform draw from n bits of a long."""
+    return (F.shiftrightunsigned(bits, at).bitwiseAND(F.lit((1 << n) - 1)).cast("double") + 0.5) / float(1 << n)
 
-    def counted(sorted_words: Column) -> Column:
-        places = F.filter(F.sequence(F.lit(1), F.size(sorted_words)), lambda i: (i == 1) | (F.get(sorted_words, i - 1) != F.get(sorted_words, i - 2)))
-        return F.get(F.transform(F.array(places), lambda p: F.transform(p, lambda i, k: F.struct(F.xxhash64(F.get(sorted_words, i - 1)).alias("term"), (F.coalesce(F.get(p, k + 1), F.size(sorted_words) + 1) - i).alias("weight")))), 0)
 
-    # A lambda's argument is worked out once; a plain column could be worked out again for each element.
-    return F.get(F.transform(F.array(words), counted), 0)
+def _scaled(group: int) -> list[Column]:
+    """For a group of samples: t, and exp(-r (t - b + 1))."""
+    bits = F.xxhash64(F.col("term"), F.lit(-1 - group))
+    r, b = -F.ln(_share(bits, 0, 24) * _share(bits, 24, 24)), _share(bits, 48, 16)
+    t = F.floor(F.col("log_weight") / r + b)
+    return [t.alias(f"t{group}"), F.exp(-r * (t - b + 1.0)).alias(f"e{group}")]
 
 
 def _sample(i: int) -> Column:
-    """The least of these longs over a text's terms is sample i: the value above, the hash of (term, t) below."""
-    one = F.xxhash64(F.col("term"), F.lit(i))
-    two = F.xxhash64(one)
-    low, high = (1 << 32) - 1, 1 << 32
-    share = lambda bits, size: (bits.cast("double") + 0.5) / float(size)
-    r = -F.ln(share(one.bitwiseAND(F.lit(low)), high) * share(F.shiftrightunsigned(one, 32), high))
-    c = F.ln(-F.ln(share(two.bitwiseAND(F.lit((1 << 24) - 1)), 1 << 24) * share(F.shiftrightunsigned(two, 24).bitwiseAND(F.lit((1 << 24) - 1)), 1 << 24)))
-    b = share(F.shiftrightunsigned(two, 48), 1 << 16)
-    t = F.floor(F.col("log_weight") / r + b)
-    value = c - r * (t - b) - r
-    code = F.xxhash64(F.col("term"), t).bitwiseAND(F.lit((1 << 31) - 1))
-    return F.shiftleft(((value + 128.0) * float(1 << 24)).cast("bigint"), 31).bitwiseOR(code)
+    """The least of these longs over a text's terms is sample i: the value c exp(-r (t - b + 1)) above, (term, t) below."""
+    bits = F.xxhash64(F.col("term"), F.lit(i))
+    c = -F.ln(_share(bits, 0, 32) * _share(bits, 32, 32))
+    value = F.least(c * F.col(f"e{i // SHARED}"), F.lit(31.0))
+    code = F.col("term").bitwiseXOR(F.shiftleft(F.col(f"t{i // SHARED}"), 4)).bitwiseAND(F.lit((1 << 24) - 1))
+    return F.shiftleft((value * float(1 << 34)).cast("bigint"), 24).bitwiseOR(code)
 
 
 def fingerprints(texts: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
-    """keys and fingerprint: the hex digits of each sample in turn.  Keys identify the rows of texts."""
-    terms = texts.select(*keys, F.explode(_weights(F.col("text"))).alias("t"))
-    terms = terms.select(*keys, F.col("t.term").alias("term"), F.ln(F.col("t.weight").cast("double")).alias("log_weight"))
+    """keys and fingerprint: the hex digits of each sample in turn.  Keys identify the rows of texts; where texts is dealt
+    out by some of them, nothing is dealt out again."""
+    words = texts.select(*keys, F.explode(F.split(F.btrim(F.lower("text"), F.lit(" \t\n\x0b\x0c\r")), "[\\x20\\x09-\\x0D]+")).alias("word"))
+    terms = words.select(*keys, F.xxhash64("word").alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("weight"))
+    terms = terms.select(*keys, "term", F.ln(F.col("weight").cast("double")).alias("log_weight"))
+    terms = terms.select(*keys, "term", *(c for g in range(-(-samples // SHARED)) for c in _scaled(g)))
     least = terms.groupBy(*keys).agg(*(F.min(_sample(i)).alias(f"s{i}") for i in range(samples)))
     digits = [F.lpad(F.lower(F.hex(F.col(f"s{i}").bitwiseAND(F.lit((1 << 4 * DIGITS) - 1)))), DIGITS, "0") for i in range(samples)]
     return least.select(*keys, F.concat(*digits).alias("fingerprint"))
@@ -86,25 +88,25 @@ def near_edits(documents: DataFrame) -> DataFrame:
     """Each document's fingerprint, that of its edited text, and its likeness to that and to the next document's.
 
     The edited text has its last third (rounded down) replaced by as many first code points of the next document, or all."""
-    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    spark = documents.sparkSession
+    docs = documents.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     counted = docs.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("copies"), F.max(F.length("text")).alias("n_chars"))
     order = stored(following(counted), "fingerprint-next")
-    same = lambda x, y: x["doc_id"].eqNullSafe(y["doc_id"]) & (x["text_hash"] == y["text_hash"])
-    # Each document with the beginning that the one before it takes over; only such beginnings are dealt out again.
-    own = docs.groupBy(*_KEY).agg(F.first("text").alias("text"))
-    before = order.select(F.col("next_doc_id").alias("doc_id"), F.col("next_text_hash").alias("text_hash"), F.struct(*_KEY).alias("taker"), F.floor(F.col("n_chars") / 3).cast("int").alias("part"))
-    given = own.join(before, same(own, before)).select(F.col("taker.doc_id").alias("doc_id"), F.col("taker.text_hash").alias("text_hash"), F.expr("substring(text, 1, part)").alias("beginning"))
-    both = own.join(given, same(own, given)).select(own["doc_id"], own["text_hash"], "text", F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 3) as int))"), "beginning").alias("edited"))
-    rows = both.select(*_KEY, F.explode(F.array(F.struct(F.lit(0).alias("edit"), "text", F.lit(None).cast("string").alias("sha")), F.struct(F.lit(1).alias("edit"), F.col("edited").alias("text"), F.sha2("edited", 256).alias("sha")))).alias("v"))
-    rows = rows.select(*_KEY, F.col("v.edit").alias("edit"), F.col("v.sha").alias("sha"), F.col("v.text").alias("text"))
-    found = fingerprints(rows, [*_KEY, "edit", "sha"])
-    pick = lambda c, e: F.max(F.when(F.col("edit") == e, F.col(c)))
-    own_prints = stored(found.groupBy(*_KEY).agg(pick("sha", 1).alias("edited_sha256"), pick("fingerprint", 0).alias("fingerprint"), pick("fingerprint", 1).alias("edited_fingerprint")), "fingerprints")
-    ends = own_prints.select(F.col("doc_id").alias("nd"), F.col("text_hash").alias("nh"), F.col("fingerprint").alias("next_print"))
-    out = own_prints.join(order, same(own_prints, order)).drop(order["doc_id"]).drop(order["text_hash"])
-    out = out.join(ends, F.col("next_doc_id").eqNullSafe(F.col("nd")) & (F.col("next_text_hash") == F.col("nh")))
+    # The texts are dealt out once, in more parts than a shuffle's so that a part's terms fit in memory; all below stays there,
+    # but for the beginnings that the document before takes over.
+    own = docs.repartition(4 * partitions(spark), *_KEY).groupBy(*_KEY).agg(F.first("text").alias("text"))
+    before = order.select(F.col("next_id").alias("id"), F.col("next_text_hash").alias("text_hash"), F.col("id").alias("taker"), F.col("text_hash").alias("taker_hash"), F.floor(F.col("n_chars") / 3).cast("int").alias("part"))
+    given = own.join(before, list(_KEY)).select(F.col("taker").alias("id"), F.col("taker_hash").alias("text_hash"), F.expr("substring(text, 1, part)").alias("beginning"))
+    edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 3) as int))"), "beginning")
+    both = own.join(given, list(_KEY)).select(*_KEY, F.posexplode(F.array(F.col("text"), edited)).alias("edit", "text"))
+    found = fingerprints(both, [*_KEY, "edit"])
+    pick = lambda e: F.max(F.when(F.col("edit") == e, F.col("fingerprint")))
+    prints = stored(found.groupBy(*_KEY).agg(pick(0).alias("fingerprint"), pick(1).alias("edited_fingerprint")), "fingerprints")
+    digests = both.where("edit = 1").select(*_KEY, F.sha2("text", 256).alias("edited_sha256"))
+    ends = prints.select(F.col("id").alias("next_id"), F.col("text_hash").alias("next_text_hash"), F.col("fingerprint").alias("next_print"))
+    out = digests.join(prints, list(_KEY)).join(order, list(_KEY)).join(ends, ["next_id", "next_text_hash"])
     return out.select(
-        "doc_id",
+        F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"),
         F.col("n_chars").cast("bigint").alias("n_chars"),
         "edited_sha256",
         "fingerprint",
