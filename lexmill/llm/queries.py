@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import fingerprints, mixing, secrets, token_output, toxicity
+from lexmill.llm import fingerprints, line_dedup, mixing, ngram_join, secrets, token_output, toxicity
 from lexmill.session import table
 
 
@@ -31,7 +31,17 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.near_edits(table(spark, sf_dir, "documents"))
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
+    "op8_ngram_join": op8_ngram_join,
     "op3_secret_scan": op3_secret_scan,
     "op4_fingerprints": op4_fingerprints,
     "op7_mixing": op7_mixing,
