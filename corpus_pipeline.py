@@ -1,8 +1,61 @@
-"""The corpus pipeline (filled in with the operators)."""
+"""The corpus pipeline: five stages over documents, each written as Parquet and read again as the next one's documents.
 
-STAGES = []
-ORACLE_SQL = None
+Every stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but the last return the columns
+of documents.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from lexmill.llm import decontaminate, mixing, ngram_join, token_output, toxicity
+from lexmill.llm.common import stored
+from lexmill.session import table
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier (9) rejects go."""
+    return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (8) stays."""
+    return ngram_join.keep_one(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item (2) go."""
+    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix (7) takes it."""
+    return mixing.mix(docs)
+
+
+def token_output_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Writes the token ids (10) and returns what is read back of each document."""
+    return token_output.round_trip(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxicity_stage),
+    ("ngram_join", ngram_join_stage),
+    ("decontamination", decontamination_stage),
+    ("mixing", mixing_stage),
+    ("token_output", token_output_stage),
+]
+
+#: SQL can't express the classifier, the templates' alignments or the tokenizer.
+ORACLE_SQL: str | None = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = stored(docs, f"pipeline-{name}")
+    return docs

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import fingerprints, line_dedup, mixing, ngram_join, secrets, token_output, toxicity
+from lexmill.llm import decontaminate, fingerprints, line_dedup, mixing, ngram_join, secrets, token_output, toxicity
 from lexmill.session import table
 
 
@@ -39,8 +39,13 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_decontamination": op2_decontamination,
     "op8_ngram_join": op8_ngram_join,
     "op3_secret_scan": op3_secret_scan,
     "op4_fingerprints": op4_fingerprints,
