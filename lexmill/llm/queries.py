@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import decontaminate, fingerprints, line_dedup, mixing, ngram_join, secrets, token_output, toxicity
+from lexmill.llm import decontaminate, fingerprints, line_dedup, mixing, ngram_join, pii, secrets, token_output, toxicity
 from lexmill.session import table
 
 
@@ -43,12 +43,17 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_decontamination": op2_decontamination,
     "op8_ngram_join": op8_ngram_join,
     "op3_secret_scan": op3_secret_scan,
     "op4_fingerprints": op4_fingerprints,
+    "op5_pii": op5_pii,
     "op7_mixing": op7_mixing,
     "op9_toxicity": op9_toxicity,
     "op10_token_output": op10_token_output,
