@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import decontaminate, fingerprints, line_dedup, mixing, ngram_join, pii, secrets, token_output, toxicity
+from lexmill.llm import decontaminate, fingerprints, line_dedup, mixing, ngram_join, pii, rnn_lm, secrets, token_output, toxicity
 from lexmill.session import table
 
 
@@ -47,6 +47,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rnn_lm.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_decontamination": op2_decontamination,
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secret_scan": op3_secret_scan,
     "op4_fingerprints": op4_fingerprints,
     "op5_pii": op5_pii,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_mixing": op7_mixing,
     "op9_toxicity": op9_toxicity,
     "op10_token_output": op10_token_output,
