@@ -1,4 +1,6 @@
-"""All queries over the reference's own operators, by name, with their oracle SQL."""
+"""All queries over the reference's own operators, by name, with their oracle SQL.
+
+A plan is SQL over facades; the same text runs in Spark and, but for function names that differ, in the oracle."""
 
 from __future__ import annotations
 
@@ -6,17 +8,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexmill.plans import corpus, freshness, ledger, monitoring
+from lexmill.plans.facades import FACADES, with_facades
 from lexmill.session import views
 
-_STATUS_BY_COURT = """
-SELECT concat('c', CAST(o_custkey % 12 AS STRING)) AS court,
-       CASE o_orderstatus WHEN 'F' THEN 'downloaded' WHEN 'P' THEN 'failed' ELSE 'pending' END AS status,
-       count(*) AS n
-FROM orders GROUP BY 1, 2
-"""
-
 
-def _sql(text: str, *tables: str) -> Callable[[SparkSession, str], DataFrame]:
+def _query(text: str, tables: tuple[str, ...]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         views(spark, sf_dir, *tables)
         return spark.sql(text)
@@ -24,5 +21,11 @@ def _sql(text: str, *tables: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"status_by_court": _sql(_STATUS_BY_COURT, "orders")}
-ORACLE_SQL: dict[str, str] = {"status_by_court": _STATUS_BY_COURT}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+for _plans in (ledger, monitoring, freshness, corpus):
+    for _name, (_facades, _body) in _plans.PLANS.items():
+        _text, _tables = with_facades(_body, *(f for f in _facades if f in FACADES))
+        _more = getattr(_plans, "EXTRA_TABLES", {}).get(_name, ())
+        QUERIES[_name] = _query(_text.replace("sha256(text)", "sha2(text, 256)"), tuple(dict.fromkeys((*_tables, *_more))))
+        ORACLE_SQL[_name] = _text
