@@ -24,7 +24,7 @@ from lexmill.llm.similarity import candidates, verified
 SHINGLE, THRESHOLD, BANDS, ROWS, SEED = 8, 0.8, 10, 3, 5
 NO_ID = -(1 << 63)
 #: Code points of lines that are hashed at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 
 def _chunks(lines: list[str]) -> Iterator[list[str]]:

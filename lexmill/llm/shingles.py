@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-SLICE = 4 << 20
+SLICE = 1 << 20
 #: An odd base of the polynomial byte hash and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(BASE, -1, 1 << 64)

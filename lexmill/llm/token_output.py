@@ -30,7 +30,7 @@ from lexmill.llm.shingles import slices, word_hashes
 
 END, MAGIC, BLOCK_IDS = 2, b"LXT1", 1 << 20
 #: Distinct words whose ids a worker keeps; beyond that it starts afresh.
-CACHED = 1 << 19
+CACHED = 1 << 17
 
 
 def default_tokenizer() -> str:
