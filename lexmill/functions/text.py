@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 #: Tags that stand on lines of their own, and tags whose content is dropped.
-BLOCK_TAGS = frozenset("address article aside blockquote br dd div dl dt footer h1 h2 h3 h4 h5 h6 header hr li ol p pre section table td th tr ul".split())
+BLOCK_TAGS = frozenset("p div br tr li h1 h2 h3 h4 h5 h6 blockquote pre table thead tbody tfoot td th".split())
 DROPPED_TAGS = frozenset(("script", "style"))
 
 

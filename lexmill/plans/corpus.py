@@ -5,7 +5,6 @@ PLANS: dict[str, tuple[tuple[str, ...], str]] = {
     "orphan_files": (("bodies",), "SELECT d.doc_id FROM documents d LEFT JOIN (SELECT doc_id FROM bodies WHERE enrichment <> 'pending') s ON d.doc_id = s.doc_id WHERE s.doc_id IS NULL"),
     "enrichment_reconcile": (("bodies",), "SELECT doc_id, enrichment, length(text) > 500 AS has_file FROM bodies WHERE (enrichment = 'downloaded') <> (length(text) > 500)"),
     "fix_plan": (("bodies",), "SELECT doc_id, CASE WHEN enrichment = 'downloaded' AND length(text) <= 500 THEN 'reset' WHEN enrichment <> 'downloaded' AND length(text) > 500 THEN 'delete' END AS action FROM bodies WHERE (enrichment = 'downloaded') <> (length(text) > 500)"),
-    "challenge_flag": (("pages",), "SELECT page_id, lower(html) LIKE '%just a moment...%' OR lower(html) LIKE '%captcha%' OR lower(html) LIKE '%access denied%' AS challenge FROM pages"),
     "translation_targets": (("bodies",), "SELECT b.doc_id FROM bodies b LEFT JOIN labels l ON b.doc_id = l.doc_id AND l.toxic = 0 WHERE b.lang = 'fr' AND l.doc_id IS NULL"),
     "version_latest": (("versions",), "SELECT doc, vid FROM (SELECT doc, vid, row_number() OVER (PARTITION BY doc ORDER BY vid) AS rn FROM versions) t WHERE rn = 1"),
     "missing_history": (("versions",), "SELECT v.doc, v.vid FROM versions v JOIN (SELECT doc, max(vid) AS latest FROM versions GROUP BY doc) m ON v.doc = m.doc WHERE v.vid <> m.latest AND v.role = 'user'"),
@@ -22,9 +21,8 @@ PLANS: dict[str, tuple[tuple[str, ...], str]] = {
     "edge_bidirectional": (("citations",), "SELECT DISTINCT from_key, to_key FROM citations"),
     "shared_partners": (("citations",), "SELECT a.from_key, a.to_key, count(DISTINCT b.to_key) AS partners FROM citations a JOIN citations b ON a.from_key = b.from_key AND a.to_key <> b.to_key GROUP BY a.from_key, a.to_key"),
     "child_caps": (("citations",), "SELECT from_key AS parent, min(to_key) AS first_child, count(DISTINCT to_key) AS children FROM citations GROUP BY from_key"),
-    "neighbourhood": (("citations",), "SELECT DISTINCT c2.from_key AS node FROM citations c1 JOIN citations c2 ON c1.to_key = c2.to_key WHERE c1.from_key = 1"),
     "rerank_score": (("citations",), "SELECT e.vec_id, round(CAST(e.label AS DOUBLE) / 10 + 0.1 * ln(1 + coalesce(h.inbound, 0)), 6) AS score FROM embeddings e LEFT JOIN (SELECT to_key, count(*) AS inbound FROM citations GROUP BY to_key) h ON h.to_key = e.vec_id"),
     "alias_resolve": (("cases",), "SELECT c.court, c.number, coalesce(k.c_name, 'unknown') AS canonical FROM cases c LEFT JOIN customer k ON k.c_custkey = c.custkey"),
     "format_union": (("bodies",), "SELECT source, count(DISTINCT lang) AS langs, min(lang) AS first_lang, max(lang) AS last_lang FROM bodies GROUP BY source"),
 }
-EXTRA_TABLES = {"challenge_flag": ("pages",), "url_parse": ("pages",), "relatedcap_grid": ("region",), "resolver_fallback": ("part", "supplier"), "rerank_score": ("embeddings",), "alias_resolve": ("customer",)}
+EXTRA_TABLES = {"url_parse": ("pages",), "relatedcap_grid": ("region",), "resolver_fallback": ("part", "supplier"), "rerank_score": ("embeddings",), "alias_resolve": ("customer",)}

@@ -24,7 +24,7 @@ PLANS: dict[str, tuple[tuple[str, ...], str]] = {
     "mark_enrichment": (("bodies",), "SELECT doc_id, CASE WHEN lang = 'de' THEN 'na' WHEN enrichment = 'failed' THEN 'pending' ELSE enrichment END AS enrichment FROM bodies"),
     "orphan_mark": (("state",), "SELECT court, number, CASE WHEN status = 'downloaded' AND (seen IS NULL OR seen < 3000) THEN 'orphaned' ELSE status END AS status FROM state"),
     "orphan_candidates": (("state",), "SELECT court, number FROM state WHERE status = 'downloaded' AND (seen IS NULL OR seen < 3000)"),
-    "latest_full_run": (("versions",), "SELECT doc, vid FROM (SELECT doc, vid, row_number() OVER (ORDER BY vid DESC, doc DESC) AS rn FROM versions WHERE role = 'assistant') t WHERE rn = 1"),
+    "latest_full_run": (("versions",), "SELECT doc, vid FROM versions WHERE role = 'assistant' ORDER BY vid DESC, doc DESC LIMIT 1"),
     "recheck_queue": (("cases",), "SELECT court, number, dt FROM cases WHERE status = 'downloaded' ORDER BY dt, number LIMIT 50"),
     "pending_cases": (("cases",), "SELECT court, yr, number FROM cases WHERE status = 'pending' AND court IN ('c1', 'c2', 'c3')"),
     "pending_any_enrichment": (("bodies",), "SELECT doc_id FROM bodies WHERE enrichment = 'pending' OR enrichment = 'failed'"),

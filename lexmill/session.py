@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -31,3 +34,21 @@ def views(spark: SparkSession, sf_dir: str, *names: str) -> None:
     """Registers the named tables as temporary views for SQL text."""
     for name in names:
         table(spark, sf_dir, name).createOrReplaceTempView(name)
+
+
+def working_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that the cluster shares (spark.checkpoint.dir); a local session without one gets its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='lexmill-')}")
+        folder = spark.sparkContext.getCheckpointDir()
+    return f"{folder.rstrip('/')}/lexmill/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as Parquet in the shared folder, read again: computed once and without lineage."""
+    path = working_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
