@@ -1,7 +1,7 @@
 """Token-ID output: whole texts as frequency-ranked ids in byte-aligned variable-length coding.
 
 Ids are replaced by their rank in the corpus (commonest first), so most take one byte.  A shard holds the documents of one
-range of doc_id in ascending order (null ids first, equal ids by text) as blocks of
+range of doc_id in ascending order (null ids first, equal ids by a hash of the text) as blocks of
 
     magic "LXT1" | documents, ids, control bytes, data bytes (uint64) | doc_id, null flag, length of each document
     | control bytes: two bits an id, its bytes less one, four ids to a control byte | data bytes, little-endian
@@ -17,20 +17,25 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import new_path, partitions
-from lexmill.llm.shingles import slices, word_hashes
+from lexmill.llm.common import new_path, partitions, stored
 
 END, MAGIC, BLOCK_IDS = 2, b"LXT1", 1 << 20
 #: Distinct words whose ids a worker keeps; beyond that it starts afresh.
-CACHED = 1 << 17
+CACHED = 3 << 17
+#: Bytes of texts, or of ids, that are worked on at once; a longer text makes a longer run.
+SLICE = 1 << 21
+#: Letters whose words no normaliser changes in length or order, and marks that are parted from such a letter before space.
+LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", ".,;:!?%#*&"
 
 
 def default_tokenizer() -> str:
@@ -41,7 +46,7 @@ def default_tokenizer() -> str:
 
 class Encoder:
     """Encodes texts by their white-space-delimited words, each distinct word once: this tokenizer drops white space and
-    none of its steps reaches across it."""
+    none of its steps reaches across it, nor from a Latin letter to plain marks at a word's end."""
 
     def __init__(self, tokenizer: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -49,51 +54,69 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer)
         self.size = max(self.tokenizer.get_vocab_size(with_added_tokens=True), END + 1)
+        self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        #: Ids that end a run of letters; such runs can be encoded many at a time and parted again.
+        self.last = np.zeros(self.size, bool)
+        self.last[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.entry: dict[int, int] = {}
-        self.flat = np.array([END], np.uint32)
+        self.entry: dict[str, int] = {}
+        self.flat = np.array([END], self.kind)
         self.start, self.length = np.zeros(1, np.int64), np.ones(1, np.int64)  # entry 0 is the end
 
-    def words(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The entry of every word in turn, and where each text's begin."""
-        hashed, first = word_hashes(raws)
-        distinct, at, inverse = np.unique(hashed, return_index=True, return_inverse=True)
-        if len(self.entry) + len(distinct) > CACHED:
+    def add(self, words: list[str]) -> None:
+        ids, count = self.encoded(words)
+        self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(count) - count))
+        self.length = np.concatenate((self.length, count))
+        self.flat = np.concatenate((self.flat, ids))
+        self.entry.update(zip(words, range(len(self.start) - len(words), len(self.start)), strict=True))
+
+    def batch(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, and how many each has."""
+        plain = pc.match_substring_regex(pa.array(words, pa.string()), f"^[{LETTERS}]+$").to_numpy(zero_copy_only=False)
+        many = [words[i] for i in np.flatnonzero(plain)]
+        joined = np.fromiter(chain.from_iterable(self.batch([" ".join(many[k : k + 200]) for k in range(0, len(many), 200)])), self.kind)
+        stop = np.flatnonzero(self.last[joined]) + 1
+        if len(stop) != len(many) or len(joined) != (stop[-1] if len(stop) else 0):
+            plain[:] = False
+            joined, stop = joined[:0], stop[:0]
+        single = self.batch([words[i] for i in np.flatnonzero(~plain)])
+        count = np.empty(len(words), np.int64)
+        count[plain] = np.diff(stop, prepend=0)
+        count[~plain] = [len(x) for x in single]
+        out = np.empty(int(count.sum()), self.kind)
+        of_plain = np.repeat(plain, count)
+        out[of_plain] = joined
+        out[~of_plain] = np.fromiter(chain.from_iterable(single), self.kind)
+        return out, count
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, with the end of each text, and the number for each text."""
+        split = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, f"([{LETTERS}])([{MARKS}]+)([ \\t\\n])", r"\1 \2\3"))
+        coded = split.flatten().dictionary_encode()
+        keys = coded.dictionary.to_pylist()
+        if len(self.entry) + len(keys) > CACHED:
             self.clear()
-        keys = distinct.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.entry]
-        if new:
-            split = [w for raw in raws for w in raw.replace(b"\x0b", b" ").replace(b"\x0c", b" ").split()]
-            said = self.tokenizer.encode_batch([split[at[i]].decode("utf-8", "replace") for i in new], add_special_tokens=False)
-            ids = [e.ids for e in said]
-            count = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(count) - count))
-            self.length = np.concatenate((self.length, count))
-            self.flat = np.concatenate((self.flat, np.fromiter((x for i in ids for x in i), np.uint32, int(count.sum()))))
-            base = len(self.start) - len(new)
-            self.entry.update((keys[i], base + j) for j, i in enumerate(new))
-        return np.fromiter((self.entry[k] for k in keys), np.int64, len(keys))[inverse.ravel()], first
-
-    def counts(self, texts: list[str | None]) -> np.ndarray:
-        total = np.zeros(self.size, np.int64)
-        for _, raws in slices(texts):
-            entry, _ = self.words(raws)
-            used = np.bincount(entry, minlength=len(self.start))
-            used[0] += len(raws)
-            total += np.bincount(self.flat, weights=np.repeat(used, self.length), minlength=self.size).astype(np.int64)
-        return total
-
-    def ids(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For runs of texts: all their ids, with the end of each text, and the number for each text."""
-        for _, raws in slices(texts):
-            entry, first = self.words(raws)
-            entry = np.insert(entry, first[1:], 0)
-            length = self.length[entry]
-            upto = np.cumsum(length)
-            ids = self.flat[np.arange(upto[-1]) + np.repeat(self.start[entry] - upto + length, length)]
-            yield ids, np.diff(np.concatenate(([0], upto[first[1:] + np.arange(len(raws))])))
+        if new := [k for k in keys if k not in self.entry]:
+            self.add(new)
+        at = np.fromiter(map(self.entry.__getitem__, keys), np.int64, len(keys))
+        first = split.offsets.to_numpy() - split.offsets[0].as_py()
+        entry = np.insert(at[coded.indices.to_numpy()], first[1:], 0)
+        length = self.length[entry]
+        upto = np.cumsum(length)
+        ids = self.flat[np.arange(upto[-1]) + np.repeat(self.start[entry] - upto + length, length)]
+        return ids, np.diff(upto[first[1:] + np.arange(len(texts))], prepend=0)
+
+
+def runs(texts: pa.Array) -> Iterator[pa.Array]:
+    """The texts in runs of about SLICE bytes."""
+    upto = np.cumsum(pc.binary_length(texts).to_numpy()) // SLICE
+    edge = [0, *(np.flatnonzero(np.diff(upto)) + 1).tolist(), len(texts)]
+    yield from (texts.slice(a, b - a) for a, b in pairwise(edge) if b > a)
 
 
 @cache
@@ -148,20 +171,39 @@ def blocks(stream) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray]]:
         yield [None if gone else d for d, gone in zip(ids, absent, strict=True)], lengths, unpack(stream.read(controls), stream.read(size), n)
 
 
+def encoded(documents: DataFrame, tokenizer: str) -> DataFrame:
+    """doc_id, a hash of the text and the ids (binary) of each document."""
+    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for texts in runs(batch.column(2)):
+                ids, lengths = encoder(tokenizer).ids(texts)
+                offset = np.concatenate(([0], np.cumsum(lengths))) * ids.itemsize
+                packed = pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(offset.astype(np.int64)), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), batch.column(1).slice(at, len(texts)), packed.cast(pa.binary())], names=["doc_id", "hash", "ids"])
+                at += len(texts)
+
+    return docs.select("doc_id", F.xxhash64("text").alias("hash"), "text").mapInArrow(run, "doc_id bigint, hash bigint, ids binary")
+
+
 def write(documents: DataFrame, path: str, tokenizer: str | None = None) -> list[tuple[int, int]]:
-    """Writes the shards of all documents to path; returns (documents, ids) of each shard in order."""
+    """Writes the shards of all documents to path; returns (documents, ids) of each shard in order.  Texts are encoded once;
+    their ids are stored, counted, and then ranked and written."""
     tokenizer = tokenizer or default_tokenizer()
-    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = stored(encoded(documents, tokenizer), "token-ids")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = 0
+        kind, total = encoder(tokenizer).kind, np.zeros(encoder(tokenizer).size, np.int64)
         for batch in batches:
-            total = total + encoder(tokenizer).counts(batch.column(0).to_pylist())
+            for raws in runs(batch.column(0)):
+                total += np.bincount(np.frombuffer(b"".join(raws.to_pylist()), kind), minlength=len(total))
         used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(np.atleast_1d(total)[used], pa.int64())], names=["id", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
 
     # At most as many rows as the vocabulary has.
-    seen = docs.select("text").mapInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    seen = docs.select("ids").mapInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
     ordered = np.array([r.id for r in sorted(seen, key=lambda r: (-r.n, r.id))], np.uint32)
     rank_of = np.zeros(int(ordered.max(initial=0)) + 1, np.uint32)
     rank_of[ordered] = np.arange(len(ordered))
@@ -172,25 +214,25 @@ def write(documents: DataFrame, path: str, tokenizer: str | None = None) -> list
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(path)
-        context = TaskContext.get()
+        context, kind = TaskContext.get(), encoder(tokenizer).kind
         shard, n_docs, n_ids = context.partitionId(), 0, 0
         temporary = f"{root}/.shard-{shard:06d}-{context.taskAttemptId()}"
         with store.open_output_stream(temporary) as out:
             for batch in batches:
-                ids, at = batch.column(0).to_pylist(), 0
-                for values, lengths in encoder(tokenizer).ids(batch.column(1).to_pylist()):
-                    own, ends, begin = ids[at : at + len(lengths)], np.cumsum(lengths), 0
-                    at += len(lengths)
-                    while begin < len(own):
-                        before = int(ends[begin - 1]) if begin else 0
-                        end = max(begin + 1, int(np.searchsorted(ends, before + BLOCK_IDS, side="right")))
-                        out.write(block(own[begin:end], lengths[begin:end], rank_of[values[before : ends[end - 1]]]))
-                        begin = end
-                    n_docs, n_ids = n_docs + len(own), n_ids + len(values)
+                doc_ids, raws = batch.column(0).to_pylist(), batch.column(1)
+                lengths = pc.binary_length(raws).to_numpy() // kind.itemsize
+                ends, begin = np.cumsum(lengths), 0
+                while begin < len(doc_ids):
+                    before = int(ends[begin - 1]) if begin else 0
+                    end = max(begin + 1, int(np.searchsorted(ends, before + BLOCK_IDS, side="right")))
+                    values = np.frombuffer(b"".join(raws.slice(begin, end - begin).to_pylist()), kind)
+                    out.write(block(doc_ids[begin:end], lengths[begin:end], rank_of[values]))
+                    begin = end
+                n_docs, n_ids = n_docs + len(doc_ids), n_ids + int(lengths.sum())
         store.move(temporary, f"{root}/shard-{shard:06d}")
         yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([n_docs], pa.int64()), pa.array([n_ids], pa.int64())], names=["shard", "docs", "ids"])
 
-    ordered_docs = docs.repartitionByRange(partitions(documents.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered_docs = docs.repartitionByRange(partitions(documents.sparkSession), "doc_id").sortWithinPartitions("doc_id", "hash").select("doc_id", "ids")
     done = ordered_docs.mapInArrow(save, "shard bigint, docs bigint, ids bigint").collect()
     return [(r.docs, r.ids) for r in sorted(done, key=lambda r: r.shard)]
 
