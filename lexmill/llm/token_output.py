@@ -31,9 +31,9 @@ from lexmill.llm.common import new_path, partitions, stored
 
 END, MAGIC, BLOCK_IDS = 2, b"LXT1", 1 << 20
 #: Distinct words whose ids a worker keeps; beyond that it starts afresh.
-CACHED = 3 << 17
+CACHED = 1 << 20
 #: Bytes of texts, or of ids, that are worked on at once; a longer text makes a longer run.
-SLICE = 1 << 21
+SLICE = 1 << 22
 #: Letters whose words no normaliser changes in length or order, and marks that are parted from such a letter before space.
 LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", ".,;:!?%#*&"
 
@@ -63,11 +63,11 @@ class Encoder:
     def clear(self) -> None:
         self.entry: dict[str, int] = {}
         self.flat = np.array([END], self.kind)
-        self.start, self.length = np.zeros(1, np.int64), np.ones(1, np.int64)  # entry 0 is the end
+        self.start, self.length = np.zeros(1, np.int32), np.ones(1, np.int32)  # entry 0 is the end
 
     def add(self, words: list[str]) -> None:
         ids, count = self.encoded(words)
-        self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(count) - count))
+        self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(count, dtype=np.int32) - count))
         self.length = np.concatenate((self.length, count))
         self.flat = np.concatenate((self.flat, ids))
         self.entry.update(zip(words, range(len(self.start) - len(words), len(self.start)), strict=True))
@@ -85,7 +85,7 @@ class Encoder:
             plain[:] = False
             joined, stop = joined[:0], stop[:0]
         single = self.batch([words[i] for i in np.flatnonzero(~plain)])
-        count = np.empty(len(words), np.int64)
+        count = np.empty(len(words), np.int32)
         count[plain] = np.diff(stop, prepend=0)
         count[~plain] = [len(x) for x in single]
         out = np.empty(int(count.sum()), self.kind)
@@ -107,8 +107,8 @@ class Encoder:
         first = split.offsets.to_numpy() - split.offsets[0].as_py()
         entry = np.insert(at[coded.indices.to_numpy()], first[1:], 0)
         length = self.length[entry]
-        upto = np.cumsum(length)
-        ids = self.flat[np.arange(upto[-1]) + np.repeat(self.start[entry] - upto + length, length)]
+        upto = np.cumsum(length, dtype=np.int32)
+        ids = self.flat[np.arange(upto[-1], dtype=np.int32) + np.repeat(self.start[entry] - upto + length, length)]
         return ids, np.diff(upto[first[1:] + np.arange(len(texts))], prepend=0)
 
 
@@ -148,9 +148,10 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     total = TOTALS[control]
     at = ((np.cumsum(total) - total)[:, None] + STARTS[control]).ravel()
     width = WIDTHS[control].ravel()
-    out = np.zeros(len(at), np.uint32)
-    for j in range(4):
-        out |= np.where(width > j, raw[at + j], 0).astype(np.uint32) << np.uint32(8 * j)
+    out = raw[at].astype(np.uint32)
+    for j in range(1, 4):
+        longer = np.flatnonzero(width > j)
+        out[longer] |= raw[at[longer] + j].astype(np.uint32) << np.uint32(8 * j)
     return out[:n]
 
 
@@ -237,9 +238,11 @@ def write(documents: DataFrame, path: str, tokenizer: str | None = None) -> list
     return [(r.docs, r.ids) for r in sorted(done, key=lambda r: r.shard)]
 
 
-def read(spark, path: str, shards: list[tuple[int, int]]) -> DataFrame:
-    """doc_id, start, n_tokens and the ids of each document, from the files."""
+def read(spark, path: str, shards: list[tuple[int, int]], crc: bool = False) -> DataFrame:
+    """doc_id, start, n_tokens and the ids of each document from the files, or with crc, instead of the ids, their crc32 as
+    little-endian unsigned 32-bit integers."""
     starts = [0, *np.cumsum([n for _, n in shards]).tolist()]
+    last = "ids_crc32" if crc else "ids"
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(path)
@@ -250,29 +253,22 @@ def read(spark, path: str, shards: list[tuple[int, int]]) -> DataFrame:
                 start = starts[shard]
                 with store.open_input_stream(f"{root}/shard-{shard:06d}") as stream:
                     for doc_ids, lengths, ranks in blocks(stream):
-                        offset = np.concatenate(([0], np.cumsum(lengths)))
-                        values = pa.ListArray.from_arrays(pa.array(offset, pa.int32()), pa.array(ids_of[ranks].astype(np.int32)))
-                        yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(start + offset[:-1]), pa.array(lengths), values], names=["doc_id", "start", "n_tokens", "ids"])
+                        offset, ids = np.concatenate(([0], np.cumsum(lengths))), ids_of[ranks]
+                        if crc:
+                            raw = memoryview(ids).cast("B")
+                            of = pa.array([zlib.crc32(raw[a:b]) for a, b in pairwise((4 * offset).tolist())], pa.int64())
+                        else:
+                            of = pa.ListArray.from_arrays(pa.array(offset, pa.int32()), pa.array(ids.astype(np.int32)))
+                        yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(start + offset[:-1]), pa.array(lengths), of], names=["doc_id", "start", "n_tokens", last])
                         start += int(offset[-1])
 
+    schema = f"doc_id bigint, start bigint, n_tokens bigint, {last} {'bigint' if crc else 'array<int>'}"
     if not shards:
-        return spark.createDataFrame([], "doc_id bigint, start bigint, n_tokens bigint, ids array<int>")
-    return spark.range(0, len(shards), 1, len(shards)).mapInArrow(load, "doc_id bigint, start bigint, n_tokens bigint, ids array<int>")
-
-
-def digest(read_back: DataFrame) -> DataFrame:
-    """The rows read back with the crc32 of each document's ids as little-endian unsigned 32-bit integers."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values, offset = batch.column(3).values.to_numpy().astype("<u4"), batch.column(3).offsets.to_numpy()
-            crc = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(offset[:-1], offset[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return read_back.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+        return spark.createDataFrame([], schema)
+    return spark.range(0, len(shards), 1, len(shards)).mapInArrow(load, schema)
 
 
 def round_trip(documents: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """Writes all documents to fresh files in the shared folder and returns the digest of what is read back."""
     path = new_path(documents.sparkSession, "tokens")
-    return digest(read(documents.sparkSession, path, write(documents, path, tokenizer)))
+    return read(documents.sparkSession, path, write(documents, path, tokenizer), crc=True)
