@@ -111,11 +111,13 @@ def train(toxic: list[str], ordinary: list[str], calibration: list[tuple[str, in
 def fit(documents: DataFrame, labels: DataFrame) -> Model:
     """Learns from labelled rows outside the held-out fold; the bounded sample is all that the driver collects."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold() != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = documents.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= LONGEST)).join(known, "doc_id").withColumn("at", F.xxhash64(F.lit("toxicity"), "doc_id", "text"))
-    picked = []
-    for toxic in (1, 0):
-        picked.append(rows.where(F.col("toxic") == toxic).orderBy("at", "doc_id").limit(SAMPLE).select("doc_id", "toxic", "text"))
-    sample = sorted(picked[0].union(picked[1]).collect(), key=lambda r: (r.toxic, r.doc_id, r.text))
+    usable = documents.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= LONGEST)).withColumn("at", F.xxhash64(F.lit("toxicity"), "doc_id", "text"))
+    # The sample is chosen by keys; only the texts that it holds are moved.
+    keys = usable.select("doc_id", "at").join(known, "doc_id")
+    first, second = (keys.where(F.col("toxic") == toxic).orderBy("at", "doc_id").limit(SAMPLE) for toxic in (1, 0))
+    picked = first.union(second).groupBy("doc_id", "at", "toxic").agg(F.count(F.lit(1)).alias("n"))  # at most 2 * SAMPLE rows
+    texts = usable.join(F.broadcast(picked), ["doc_id", "at"]).dropDuplicates(["doc_id", "at"]).collect()
+    sample = sorted((r for r in texts for _ in range(r.n)), key=lambda r: (r.toxic, r.doc_id, r.text))
     # A third of each class calibrates, at most CALIBRATION rows; the rest trains the dictionaries.
     apart = [r for i, r in enumerate(sample) if i % 3 == 0][:CALIBRATION]
     rest = [r for i, r in enumerate(sample) if i % 3]
