@@ -20,9 +20,7 @@ from pyspark.sql import functions as F
 
 from lexmill.llm.common import partitions, stored
 
-SAMPLES = 32
-#: Samples that share a term's r and b; their c differ, so each still agrees with the right probability.
-SHARED = 2
+SAMPLES = 64
 #: Hex digits of a sample in the fingerprint.
 DIGITS = 4
 #: Stands for a null id, so that keys are never null.
@@ -49,20 +47,20 @@ def _share(bits: Column, at: int, n: int) -> Column:
     return (F.shiftrightunsigned(bits, at).bitwiseAND(F.lit((1 << n) - 1)).cast("double") + 0.5) / float(1 << n)
 
 
-def _scaled(group: int) -> list[Column]:
-    """For a group of samples: t, and exp(-r (t - b + 1))."""
-    bits = F.xxhash64(F.col("term"), F.lit(-1 - group))
+def _scaled(i: int) -> list[Column]:
+    """For sample i: t, and exp(-r (t - b + 1))."""
+    bits = F.xxhash64(F.col("term"), F.lit(-1 - i))
     r, b = -F.ln(_share(bits, 0, 24) * _share(bits, 24, 24)), _share(bits, 48, 16)
     t = F.floor(F.col("log_weight") / r + b)
-    return [t.alias(f"t{group}"), F.exp(-r * (t - b + 1.0)).alias(f"e{group}")]
+    return [t.alias(f"t{i}"), F.exp(-r * (t - b + 1.0)).alias(f"e{i}")]
 
 
 def _sample(i: int) -> Column:
     """The least of these longs over a text's terms is sample i: the value c exp(-r (t - b + 1)) above, (term, t) below."""
     bits = F.xxhash64(F.col("term"), F.lit(i))
     c = -F.ln(_share(bits, 0, 32) * _share(bits, 32, 32))
-    value = F.least(c * F.col(f"e{i // SHARED}"), F.lit(31.0))
-    code = F.col("term").bitwiseXOR(F.shiftleft(F.col(f"t{i // SHARED}"), 4)).bitwiseAND(F.lit((1 << 24) - 1))
+    value = F.least(c * F.col(f"e{i}"), F.lit(31.0))
+    code = F.col("term").bitwiseXOR(F.shiftleft(F.col(f"t{i}"), 4)).bitwiseAND(F.lit((1 << 24) - 1))
     return F.shiftleft((value * float(1 << 34)).cast("bigint"), 24).bitwiseOR(code)
 
 
@@ -72,7 +70,9 @@ def fingerprints(texts: DataFrame, keys: list[str], samples: int = SAMPLES) -> D
     words = texts.select(*keys, F.explode(F.split(F.btrim(F.lower("text"), F.lit(" \t\n\x0b\x0c\r")), "[\\x20\\x09-\\x0D]+")).alias("word"))
     terms = words.select(*keys, F.xxhash64("word").alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("weight"))
     terms = terms.select(*keys, "term", F.ln(F.col("weight").cast("double")).alias("log_weight"))
-    terms = terms.select(*keys, "term", *(c for g in range(-(-samples // SHARED)) for c in _scaled(g)))
+    # More than spark.sql.codegen.maxFields columns: Spark then compiles each in a method of its own, short enough for the JVM's
+    # compiler, and not all samples in one.
+    terms = terms.select(*keys, "term", *(c for i in range(samples) for c in _scaled(i)))
     least = terms.groupBy(*keys).agg(*(F.min(_sample(i)).alias(f"s{i}") for i in range(samples)))
     digits = [F.lpad(F.lower(F.hex(F.col(f"s{i}").bitwiseAND(F.lit((1 << 4 * DIGITS) - 1)))), DIGITS, "0") for i in range(samples)]
     return least.select(*keys, F.concat(*digits).alias("fingerprint"))
