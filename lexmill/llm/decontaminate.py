@@ -3,9 +3,10 @@
 A text is a sequence of tokens (words and numbers).  Its template replaces numbers, units and names (capitalised words inside a
 sentence) by typed placeholders and lower-cases the rest.  Windows of WINDOW template tokens of benchmark items are hash-joined
 with those of documents.  Along each alignment of document and item (their difference of positions) the values in the
-placeholders must be consistent: one value of the item never stands for two in the document.  An item is found in a document
-whose consistent alignments hold at least COVERAGE of the item's windows; with other values than the item's it is a
-re-parameterised copy.
+placeholders must be consistent: where one value of the item stands for several in the document, the commonest (of equally
+common ones the item's own) counts, and only windows with another are dropped; windows that are as in the item always count.
+An item is found in a document that holds at least COVERAGE of its windows so, or RUN of its tokens in a row, whatever share of
+the item they are; with other values than the item's it is a re-parameterised copy.
 
 Null and empty texts have no tokens; items of fewer than WINDOW tokens have one shorter window, compared with windows of that
 length; rows equal in id and text give equal results; several items may be found in one document; extra columns are ignored.
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lexmill.llm.common import small, stored
 
-WINDOW, COVERAGE = 8, 0.3
+WINDOW, COVERAGE, RUN = 8, 0.3, 13
 NO_ID = -(1 << 63)
 #: Words that count as units.
 UNITS = (
@@ -54,12 +55,23 @@ def _windows(templated: Column, width: Column) -> Column:
     return F.get(F.transform(F.array(templated), hashed), 0)
 
 
+def _in_run(own: Column, doc: Column, at: Column, place: Column) -> Column:
+    """Whether a window that begins at these places lies in RUN tokens that are equal but for case."""
+    plain = lambda tokens, start: F.transform(F.slice(tokens, start + 1, RUN), lambda t: F.lower(F.ltrim(t, F.lit(_MARK))))
+
+    def equal(back: Column) -> Column:
+        inside = (at >= back) & (place >= back) & (at - back + RUN <= F.size(own))
+        return inside & (plain(own, F.greatest(at - back, F.lit(0))) == plain(doc, F.greatest(place - back, F.lit(0))))
+
+    return F.exists(F.sequence(F.lit(0), F.lit(RUN - WINDOW)), equal)
+
+
 def _keyed(documents: DataFrame) -> DataFrame:
     return documents.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
 
 
 def matches(documents: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """id, text_hash, item_id, share (of the item's windows) and exact (no value differs) of what is found."""
+    """id, text_hash, item_id, share (of the item's windows) and exact (no value differs in an alignment) of what is found."""
     items = benchmark.select("item_id", tokens(F.col("text")).alias("own")).where(F.size("own") > 0).withColumn("width", F.least(F.size("own"), F.lit(WINDOW)))
     items = stored(items.withColumn("total", F.size("own") - F.col("width") + 1), "benchmark-tokens")
     wanted = stored(items.select("item_id", "width", F.posexplode(_windows(template(F.col("own")), F.col("width"))).alias("at", "hash")), "benchmark-windows")
@@ -81,13 +93,17 @@ def matches(documents: DataFrame, benchmark: DataFrame, coverage: float = COVERA
         F.arrays_zip(F.slice("own", F.col("at") + 1, F.col("width")).alias("mine"), F.slice("doc", F.col("place") + 1, F.col("width")).alias("theirs")),
         lambda s: _placeholder(s["mine"]).startswith("<"),
     )
-    pairs = pairs.select("id", "text_hash", "item_id", "total", "at", (F.col("place") - F.col("at")).alias("shift"), F.explode_outer(slots).alias("slot"))
     line = ["id", "text_hash", "item_id", "shift"]
-    values = pairs.groupBy(*line, "total", "slot.mine").agg(F.min("slot.theirs").alias("low"), F.max("slot.theirs").alias("high"))
-    agreed = values.groupBy(*line).agg(F.min(F.coalesce(F.col("low") == F.col("high"), F.lit(True))).alias("consistent"), F.min(F.coalesce((F.col("low") == F.col("mine")) & (F.col("high") == F.col("mine")), F.lit(True))).alias("exact"))
-    found = pairs.select(*line, "total", "at").distinct().join(agreed, line).where("consistent")
-    out = found.groupBy("id", "text_hash", "item_id").agg((F.count_distinct("at") / F.first("total")).alias("share"), F.min("exact").alias("exact"))
-    return out.where(F.col("share") >= coverage)
+    pairs = pairs.select("id", "text_hash", "item_id", (F.col("place") - F.col("at")).alias("shift"), "total", "at", _in_run(F.col("own"), F.col("doc"), F.col("at"), F.col("place")).alias("run"), slots.alias("slots"))
+    filled = pairs.select(*line, "at", F.explode("slots").alias("slot")).select(*line, "at", "slot.mine", "slot.theirs")
+    votes = filled.groupBy(*line, "mine", "theirs").agg(F.count(F.lit(1)).alias("n"))
+    chosen = votes.groupBy(*line, "mine").agg(F.max_by("theirs", F.struct("n", F.col("theirs") == F.col("mine"), "theirs")).alias("value"))
+    agreed = filled.join(chosen, [*line, "mine"]).groupBy(*line, "at").agg(F.min(F.col("theirs") == F.col("value")).alias("consistent"), F.min(F.col("theirs") == F.col("mine")).alias("exact"))
+    windows = pairs.drop("slots").join(agreed, [*line, "at"], "left").withColumns({c: F.coalesce(c, F.lit(True)) for c in ("consistent", "exact")})
+    kept = F.when(F.col("consistent") | F.col("exact") | F.col("run"), F.col("at"))
+    found = windows.groupBy(*line).agg(F.collect_set(kept).alias("kept"), F.min("exact").alias("exact"), F.max("run").alias("run"), F.first("total").alias("total")).where(F.size("kept") > 0)
+    out = found.groupBy("id", "text_hash", "item_id").agg((F.size(F.array_distinct(F.flatten(F.collect_list("kept")))) / F.first("total")).alias("share"), F.min("exact").alias("exact"), F.max("run").alias("run"))
+    return out.where((F.col("share") >= coverage) | F.col("run")).drop("run")
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Each test fails where an operator does less than its whole job."""
 
-from lexmill.llm import fingerprints
+from lexmill.llm import decontaminate, fingerprints
 
 
 def test_fingerprint_samples_have_draws_of_their_own(spark):
@@ -16,3 +16,20 @@ def test_fingerprint_samples_have_draws_of_their_own(spark):
         pairs = [(row[i], row[i ^ apart]) for row in same for i in range(len(row))]
         both = sum(a and b for a, b in pairs) / len(pairs)
         assert abs(both - 0.64) < 0.04, apart  # 0.8 where the two share their draws
+
+
+def test_decontamination_drops_only_what_disagrees(spark):
+    words = [f"{a}{b}" for a in ("ba", "ce", "di", "fo", "gu", "ha", "je", "ki", "lo", "mu") for b in ("ra", "se", "ti", "vo", "nu", "la")]
+    long, thirteen = words[:59], words[20:33]
+    roles = "she buys 3 apples in the small shop near the old mill and later sells 3 pears to her friend at the harbour"
+    benchmark = spark.createDataFrame([(1, " ".join(long)), (2, roles)], "item_id bigint, text string")
+    documents = spark.createDataFrame([
+        (1, "x y " + " ".join(long[10:32]) + " z"),  # 15 of 52 windows
+        (2, " ".join(["x", *thirteen, "y"])),
+        (3, " ".join(["x", *thirteen[:-1], "y"])),  # a token short of a run
+        (4, roles.replace("3 apples", "5 apples").replace("3 pears", "7 pears")),
+        (5, roles.replace("3 pears", "7 pears")),
+        (6, roles),
+    ], "doc_id bigint, text string")
+    found = {r.doc_id: (r["items"], r.exact) for r in decontaminate.leaks(documents, benchmark).collect()}
+    assert found == {1: ([1], True), 2: ([1], True), 4: ([2], False), 5: ([2], False), 6: ([2], True)}
