@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 from lexmill.llm.common import fold, stored
 from lexmill.llm.shingles import slices, word_hashes
 
-HIDDEN, VOCABULARY, CLASSES, WINDOW, ROUNDS, RATE = 16, 2048, 64, 32, 1, 0.05
+HIDDEN, VOCABULARY, CLASSES, WINDOW, ROUNDS, RATE = 16, 2048, 64, 32, 2, 0.05
 #: Words whose counts every worker holds; the counts of rarer ones are joined.
 HEAD = 1 << 16
-TRAIN_LANES, SCORE_LANES = 256, 512
+TRAIN_LANES, SCORE_LANES = 64, 512
 END = np.uint64(0x656E64)
 WIDTH = VOCABULARY // CLASSES
 SHAPES = {"x": (VOCABULARY, 3 * HIDDEN), "u": (HIDDEN, 3 * HIDDEN), "cw": (CLASSES, HIDDEN), "cb": (CLASSES,), "ww": (VOCABULARY, HIDDEN), "wb": (VOCABULARY,)}

@@ -1,6 +1,6 @@
 """Each test fails where an operator does less than its whole job."""
 
-from lexmill.llm import decontaminate, fingerprints
+from lexmill.llm import decontaminate, fingerprints, rnn_lm
 
 
 def test_fingerprint_samples_have_draws_of_their_own(spark):
@@ -33,3 +33,13 @@ def test_decontamination_drops_only_what_disagrees(spark):
     ], "doc_id bigint, text string")
     found = {r.doc_id: (r["items"], r.exact) for r in decontaminate.leaks(documents, benchmark).collect()}
     assert found == {1: ([1], True), 2: ([1], True), 4: ([2], False), 5: ([2], False), 6: ([2], True)}
+
+
+def test_language_model_trains_on_from_the_average(spark, monkeypatch):
+    begun, flat = [], rnn_lm._flat
+    monkeypatch.setattr(rnn_lm, "_flat", lambda p: begun.append(flat(p)) or begun[-1])
+    texts = spark.createDataFrame([(i, f"red green blue {i % 3} grey") for i in range(40)], "doc_id bigint, text string").repartition(2)
+    words, vocabulary = rnn_lm.words_of(rnn_lm.count_words(texts))
+    rnn_lm.train(texts, words, vocabulary)
+    assert len(begun) >= 2 and (begun[0] != begun[1]).any()
+    assert rnn_lm.TRAIN_LANES <= 64
