@@ -7,7 +7,7 @@ all its windows go through a logistic calibration, whose threshold of 0.5 reject
 
 Bounds (only the training sample is bounded; scoring reads every whole text): at most SAMPLE labelled rows of each class
 for the dictionaries and CALIBRATION other rows for the calibration, in the order of a hash of the id, of texts of at most
-LONGEST code points.  Null texts and texts without words get the score of a window without distance.  Repeated rows each
+LONGEST code points, and at most PIECES pieces of them for the ordinary dictionary.  Null texts and texts without words get the score of a window without distance.  Repeated rows each
 get a row; several labels of one id count as toxic if any is.  Without labelled rows of both classes every score is the
 share of toxic ones (0 if there are none).  Only the text enters a score.
 """
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from lexmill.llm.common import fold
 
 SAMPLE, CALIBRATION, LONGEST = 2000, 2000, 20_000
+#: Pieces of 128 bytes of the sample's ordinary texts that train the ordinary dictionary, at most.
+PIECES = 40_000
 ORDINARY_BYTES, TOXIC_BYTES = 16384, 2048
 WORDS, STEP = 8, 4
 BEGINNINGS = (4, 5, 6)
@@ -96,7 +98,7 @@ def train(toxic: list[str], ordinary: list[str], calibration: list[tuple[str, in
     evidence = [f" {' '.join(w for w in t.split() if any(w[:n] in marks for n in BEGINNINGS))} ".encode("utf-8", "surrogatepass") for t in toxic]
     raws = [t.encode("utf-8", "surrogatepass") for t in ordinary]
     pieces = [r[i : i + 128] for r in raws for i in range(0, len(r), 128)]
-    order = np.random.default_rng(7).permutation(len(pieces))[:40_000]
+    order = np.random.default_rng(7).permutation(len(pieces))[:PIECES]
     model = Model(_dictionary([pieces[i] for i in order.tolist()], ORDINARY_BYTES), _dictionary(evidence, TOXIC_BYTES), np.zeros(7), np.ones(7), np.zeros(8))
     x = features([t for t, _ in calibration], *model.compressors())
     model.mean, model.scale = x.mean(0), x.std(0) + 1e-9
