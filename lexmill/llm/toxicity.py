@@ -7,8 +7,8 @@ all its windows go through a logistic calibration, whose threshold of 0.5 reject
 
 Bounds (only the training sample is bounded; scoring reads every whole text): at most SAMPLE labelled rows of each class
 for the dictionaries and CALIBRATION other rows for the calibration, in the order of a hash of the id, of texts of at most
-LONGEST code points, and at most PIECES pieces of them for the ordinary dictionary.  Null texts and texts without words get the score of a window without distance.  Repeated rows each
-get a row; several labels of one id count as toxic if any is.  Without labelled rows of both classes every score is the
+LONGEST code points, and at most PIECES pieces of them for the ordinary dictionary.  Null texts and texts without words get
+the score of a window without distance.  Repeated rows each get a row; several labels of one id count as toxic if any is.  Without labelled rows of both classes every score is the
 share of toxic ones (0 if there are none).  Only the text enters a score.
 """
 
