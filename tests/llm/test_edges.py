@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from lexmill.llm import decontaminate, fingerprints, line_dedup, mixing, ngram_join, pii, rnn_lm, secrets, token_output, toxicity
@@ -125,8 +126,12 @@ def test_toxicity(docs, labels):
     rows = by_id(toxicity.score(docs, model))
     assert sum(map(len, rows.values())) == len(ROWS) and all(0 <= r.score <= 1 for v in rows.values() for r in v)
     toxic, plain = [f"you {w} fool number {i} of them all" for i in range(60) for w in ("wretched",)], [f"a kind word number {i} of them all" for i in range(60)]
-    trained = toxicity.train(toxic[:40], plain[:40], [(t, 1) for t in toxic[40:]] + [(t, 0) for t in plain[40:]])
-    assert trained.scores(["you wretched fool", None])[0] > 0.5 > trained.scores(["a kind word", ""])[0]
+    trained = toxicity.train(toxic[:40], plain[:40])
+    trained.calibrate(trained.features(toxic[40:] + plain[40:]), np.repeat([1, 0], 20))
+    said = trained.scores(trained.features(["you wretched fool", None, "a kind word", ""]))
+    assert said[0] > 0.5 > said[2] and said[1] == said[3]
+    clean = toxicity.keep_clean(docs, trained)
+    assert clean.columns == docs.columns and clean.count() <= len(ROWS)
 
 
 def test_token_output_round_trip(docs):
