@@ -23,13 +23,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import fold, stored
+from lexmill.llm.common import discard, fold, give_back, stored, texts_of
 from lexmill.llm.shingles import slices, word_hashes
 
 HIDDEN, VOCABULARY, CLASSES, WINDOW, ROUNDS, RATE = 16, 2048, 64, 32, 2, 0.05
 #: Words whose counts every worker holds; the counts of rarer ones are joined.
 HEAD = 1 << 16
 TRAIN_LANES, SCORE_LANES = 64, 512
+#: Rows of a window above which an output class has a product of its own.
+CROWDED = 96
+#: Tokens that are dealt to lanes at once (one document may be longer).
+GROUP = 1 << 22
 END = np.uint64(0x656E64)
 WIDTH = VOCABULARY // CLASSES
 SHAPES = {"x": (VOCABULARY, 3 * HIDDEN), "u": (HIDDEN, 3 * HIDDEN), "cw": (CLASSES, HIDDEN), "cb": (CLASSES,), "ww": (VOCABULARY, HIDDEN), "wb": (VOCABULARY,)}
@@ -60,7 +64,7 @@ def count_words(training: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [token_hashes(raws)[0] for _, raws in slices(batch.column(0).to_pylist())]
+            parts = [token_hashes(raws)[0] for _, raws in slices(texts_of(batch.column(0)))]
             h, n = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.uint64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n, pa.int64())], names=["hash", "n"])
 
@@ -70,7 +74,16 @@ def count_words(training: DataFrame) -> DataFrame:
 def words_of(counts: DataFrame) -> tuple[Words, np.ndarray]:
     """The head words and the counts of the vocabulary's."""
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    rows = counts.orderBy(F.desc("n"), "hash").limit(HEAD).collect()
+    # Every task sends only what belongs to the head: all words above a step of counts, and of that step a share by hash.
+    step = F.floor(F.log2(F.col("n").cast("double")) * 8)
+    room, low, share = HEAD, 0, 0.0
+    for r in counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("step")).collect():
+        low, share = r.step, min(1.0, room / r.words)
+        room -= r.words
+        if room <= 0:
+            break
+    kept = (step > low) | ((step == low) & (F.pmod(F.xxhash64("hash"), F.lit(1 << 20)) < int(share * (1 << 20))))
+    rows = sorted(counts.where(kept).collect(), key=lambda r: (-r.n, r.hash))
     h = np.array([r.hash for r in rows], np.int64).view(np.uint64)
     n = np.array([r.n for r in rows], np.int64)
     if END not in h:
@@ -94,114 +107,188 @@ def initial(counts: np.ndarray, seed: int = 1) -> dict[str, np.ndarray]:
     share = np.full(VOCABULARY, 1e-9)
     share[: len(counts) - 1] = counts[:-1] + 0.5
     share[VOCABULARY - 1] = counts[-1]
-    p["wb"] = np.log(share).astype(np.float32)
-    p["cb"] = np.log(share.reshape(CLASSES, WIDTH).sum(1)).astype(np.float32)
+    of_class = share.reshape(CLASSES, WIDTH).sum(1)
+    p["wb"] = np.log(share / np.repeat(of_class, WIDTH)).astype(np.float32)
+    p["cb"] = np.log(of_class / of_class.sum()).astype(np.float32)
     p["ww"] *= 0
     p["cw"] *= 0
     return p
 
 
-def lanes(docs: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Targets, whether a document begins, and its number, of (steps, lanes): longest lane first; number -1 past a lane's end."""
+@dataclass
+class Lanes:
+    """Documents end to end in lanes, and the lanes end to end: memory follows the tokens, however long one document is."""
+
+    target: np.ndarray
+    number: np.ndarray  # the document of each token
+    begins: np.ndarray
+    first: np.ndarray  # of each lane, the longest lane first
+    length: np.ndarray
+
+
+def lanes(docs: list[np.ndarray], most: int) -> Lanes:
     k = max(1, min(most, len(docs)))
+    size = np.array([len(d) for d in docs])
     heap, own = [(0, i) for i in range(k)], [[] for _ in range(k)]
-    for d in sorted(range(len(docs)), key=lambda d: -len(docs[d])):
-        size, i = heapq.heappop(heap)
+    for d in np.argsort(-size, kind="stable").tolist():
+        total, i = heapq.heappop(heap)
         own[i].append(d)
-        heapq.heappush(heap, (size + len(docs[d]), i))
-    own.sort(key=lambda ds: -sum(len(docs[d]) for d in ds))
-    steps = sum(len(docs[d]) for d in own[0])
-    target, number = np.zeros((steps, k), np.int32), np.full((steps, k), -1, np.int32)
-    begins = np.zeros((steps, k), bool)
-    for i, ds in enumerate(own):
-        at = 0
-        for d in ds:
-            end = at + len(docs[d])
-            target[at:end, i], number[at:end, i], begins[at, i] = docs[d], d, True
-            at = end
-    return target, begins, number
-
-
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+        heapq.heappush(heap, (total + int(size[d]), i))
+    length = np.array([size[ds].sum() for ds in own])
+    by = np.argsort(-length, kind="stable")
+    order = np.concatenate([own[i] for i in by.tolist()])
+    length = length[by]
+    begins = np.zeros(size.sum(), bool)
+    begins[np.cumsum(size[order]) - size[order]] = True
+    return Lanes(np.concatenate([docs[d] for d in order.tolist()]), np.repeat(order, size[order]), begins, np.cumsum(length) - length, length)
+
+
+def _softmax(x: np.ndarray, own: tuple[np.ndarray, ...], slope: bool) -> np.ndarray:
+    """Along the last axis but one: log-likelihoods of the picks, which are at `own`; with slope x becomes their slopes, else
+    it is used up."""
+    np.minimum(x, 80, out=x)  # so exp needs no shift
+    np.maximum(x, -80, out=x)
+    chosen = x[own]
+    np.exp(x, out=x)
+    total = x.sum(-2)
+    if slope:
+        x *= (1 / total)[..., None, :]
+        x[own] -= 1
+    return chosen - np.log(total)
+
+
+def _output(p: dict[str, np.ndarray], s: np.ndarray, y: np.ndarray, slopes: dict[str, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray | None]:
+    """Log-likelihoods of words y after states s (a column each), and slopes by s; the other slopes go to `slopes`, if wanted.
+
+    The words inside a class: classes with many words one by one, all others side by side in one padded product."""
+    order = np.argsort((y // WIDTH).astype(np.int16), kind="stable")
+    s, y = s[:, order], y[order]
+    c = y // WIDTH
+    x = p["cw"] @ s
+    x += p["cb"][:, None]
+    column = np.arange(len(y))
+    logp = _softmax(x, (c, column), slopes is not None)
+    ds = None
+    if slopes is not None:
+        slopes["cw"], slopes["cb"], ds = x @ s.T, x.sum(1), p["cw"].T @ x
+        slopes["ww"], slopes["wb"] = np.zeros_like(p["ww"]), np.zeros_like(p["wb"])
+    edge = np.searchsorted(c, np.arange(CLASSES + 1))
+    count = np.diff(edge)
+    for k in np.flatnonzero(count > CROWDED).tolist():
+        at, span = slice(edge[k], edge[k + 1]), slice(k * WIDTH, (k + 1) * WIDTH)
+        x = p["ww"][span] @ s[:, at]
+        x += p["wb"][span, None]
+        logp[at] += _softmax(x, (y[at] - k * WIDTH, column[: count[k]]), slopes is not None)
+        if slopes is not None:
+            slopes["ww"][span], slopes["wb"][span] = x @ s[:, at].T, x.sum(1)
+            ds[:, at] += p["ww"][span].T @ x
+    few = np.flatnonzero((count > 0) & (count <= CROWDED))
+    if len(few):
+        place = np.arange(count[few].max())
+        real = place < count[few, None]
+        at = np.minimum(edge[few, None] + place, len(y) - 1)
+        padded, weights = np.ascontiguousarray(s[:, at].transpose(1, 0, 2)), p["ww"].reshape(CLASSES, WIDTH, HIDDEN)[few]
+        x = weights @ padded
+        x += p["wb"].reshape(CLASSES, WIDTH, 1)[few]
+        pick = np.where(real, y[at] - few[:, None] * WIDTH, 0)
+        inner = _softmax(x, (np.arange(len(few))[:, None], pick, place), slopes is not None)
+        logp[at[real]] += inner[real]
+        if slopes is not None:
+            x *= real[:, None, :]
+            slopes["ww"].reshape(CLASSES, WIDTH, HIDDEN)[few] = x @ padded.transpose(0, 2, 1)
+            slopes["wb"].reshape(CLASSES, WIDTH)[few] = x.sum(2)
+            ds[:, at[real]] += (weights.transpose(0, 2, 1) @ x).transpose(1, 0, 2)[:, real]
+    back = np.empty_like(order)
+    back[order] = np.arange(len(order))
+    return logp[back], None if ds is None else ds[:, back]
 
 
 def run(p: dict[str, np.ndarray], docs: list[np.ndarray], most: int, square: dict[str, np.ndarray] | None = None) -> np.ndarray:
-    """Natural log-likelihood of each document; with square (sums of squared slopes) it also trains p, window by window."""
-    target, begins, number = lanes(docs, most)
-    source = np.zeros_like(target)
-    source[1:] = target[:-1]
-    source[begins] = 0  # a document starts after an end
-    live = (number >= 0).sum(1)
-    total = np.zeros(len(docs))
-    h = np.zeros((target.shape[1], HIDDEN), np.float32)
-    for start in range(0, len(target), WINDOW):
-        stop = min(len(target), start + WINDOW)
-        states, kept = [], []
-        for t in range(start, stop):
-            n = int(live[t])
-            before = np.where(begins[t, :n, None], 0, h[:n]).astype(np.float32)
-            x, u = p["x"][source[t, :n]], before @ p["u"]
-            gates = 1 / (1 + np.exp(-(x[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN])))
-            z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-            un = u[:, 2 * HIDDEN :]
-            new = np.tanh(x[:, 2 * HIDDEN :] + r * un)
-            h = (1 - z) * new + z * before
-            states.append(h)
-            if square is not None:
-                kept.append((before, z, r, un, new))
-        y = np.concatenate([target[t, : live[t]] for t in range(start, stop)])
-        d = np.concatenate([number[t, : live[t]] for t in range(start, stop)])
-        s = np.concatenate(states)
-        c = y // WIDTH
-        of_class = _log_softmax(s @ p["cw"].T + p["cb"])
-        logp = of_class[np.arange(len(y)), c]
-        order = np.argsort(c, kind="stable")
-        edge = np.searchsorted(c[order], np.arange(CLASSES + 1))
-        ds, slopes = None, None
-        if square is not None:
-            slope = np.exp(of_class)
-            slope[np.arange(len(y)), c] -= 1
-            slopes = {k: np.zeros_like(v) for k, v in p.items()}
-            slopes["cw"], slopes["cb"], ds = slope.T @ s, slope.sum(0), slope @ p["cw"]
-        for k in np.flatnonzero(np.diff(edge)).tolist():
-            rows, span = order[edge[k] : edge[k + 1]], slice(k * WIDTH, (k + 1) * WIDTH)
-            inner = _log_softmax(s[rows] @ p["ww"][span].T + p["wb"][span])
-            pick = y[rows] - k * WIDTH
-            logp[rows] += inner[np.arange(len(rows)), pick]
-            if square is not None:
-                slope = np.exp(inner)
-                slope[np.arange(len(rows)), pick] -= 1
-                slopes["ww"][span], slopes["wb"][span] = slope.T @ s[rows], slope.sum(0)
-                ds[rows] += slope @ p["ww"][span]
-        total += np.bincount(d, weights=logp, minlength=len(docs))
-        if square is None:
+    """Natural log-likelihood of each document; with square (sums of squared slopes) it also trains p, window by window.
+
+    Arrays of a window are (step, feature, lane)."""
+    dealt = lanes(docs, most)
+    logs = np.zeros(len(dealt.target), np.float32)
+    state = np.zeros((HIDDEN, len(dealt.first)), np.float32)
+    steps = np.arange(WINDOW)[:, None]
+    two = 2 * HIDDEN
+    for start in range(0, int(dealt.length[0]), WINDOW):
+        n = int(np.searchsorted(-dealt.length, -start))  # lanes that go on
+        left = dealt.length[:n] - start
+        depth = min(WINDOW, int(left[0]))
+        inside = steps[:depth] < left
+        at = dealt.first[:n] + start + np.minimum(steps[:depth], left - 1)
+        begin = dealt.begins[at]
+        source = np.where(begin, 0, dealt.target[np.maximum(at - 1, 0)])  # a document starts after an end
+        keep = (~begin).astype(np.float32)
+        slopes: dict[str, np.ndarray] | None = None if square is None else {}
+        # Forward: before, gates (update, reset), the candidate's part by the state, the candidate, and the state of each step.
+        x, u = np.ascontiguousarray(p["x"][source].transpose(0, 2, 1)), np.ascontiguousarray(p["u"].T)
+        x[:, :two] *= 0.5  # a logistic is half a hyperbolic tangent of half, and a half
+        u[:two] *= 0.5
+        before, un, new, states = (np.empty((depth, HIDDEN, n), np.float32) for _ in range(4))
+        gates = np.empty((depth, two, n), np.float32)
+        into, h = np.empty((3 * HIDDEN, n), np.float32), np.ascontiguousarray(state[:, :n])
+        for t in range(depth):
+            b, g, c, now = before[t], gates[t], new[t], states[t]
+            np.multiply(h, keep[t], out=b)
+            np.matmul(u, b, out=into)
+            np.add(x[t, :two], into[:two], out=g)
+            np.tanh(g, out=g)
+            g *= 0.5
+            g += 0.5
+            un[t] = into[two:]
+            np.multiply(g[HIDDEN:], into[two:], out=c)
+            c += x[t, two:]
+            np.tanh(c, out=c)
+            np.subtract(b, c, out=now)
+            now *= g[:HIDDEN]
+            now += c
+            h = now
+        state[:, :n] = h
+        # All columns in one order, and those past a lane's end left out.
+        columns = states.transpose(1, 0, 2).reshape(HIDDEN, -1)
+        whole = bool(inside.all())
+        live = slice(None) if whole else np.flatnonzero(inside.ravel())
+        flat = at.ravel()[live]
+        logs[flat], out = _output(p, columns[:, live], dealt.target[flat], slopes)
+        if slopes is None:
             continue
-        after, at, dxs = np.zeros((target.shape[1], HIDDEN), np.float32), len(y), []
-        for t in range(stop - 1, start - 1, -1):
-            n = int(live[t])
-            before, z, r, un, new = kept[t - start]
-            at -= n
-            dh = after[:n] + ds[at : at + n]
-            dn = dh * (1 - z) * (1 - new * new)
-            dz = dh * (before - new) * z * (1 - z)
-            dr = dn * un * r * (1 - r)
-            du = np.concatenate((dz, dr, dn * r), 1)
-            dxs.append(np.concatenate((dz, dr, dn), 1))
-            slopes["u"] += before.T @ du
-            after = np.zeros_like(after)
-            after[:n] = np.where(begins[t, :n, None], 0, dh * z + du @ p["u"].T)
-        dx = np.concatenate(dxs[::-1])
-        into = np.concatenate([source[t, : live[t]] for t in range(start, stop)])
-        by = np.argsort(into, kind="stable")
-        at = np.flatnonzero(np.diff(into[by], prepend=-1))
-        slopes["x"][into[by][at]] = np.add.reduceat(dx[by], at, axis=0)
+        if not whole:
+            out, part = np.zeros((HIDDEN, depth * n), np.float32), out
+            out[:, live] = part
+        ds = np.ascontiguousarray(out.reshape(HIDDEN, depth, n).transpose(1, 0, 2))
+        z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
+        by_new, by_z, by_r = (1 - z) * (1 - new * new), (before - new) * z * (1 - z), un * r * (1 - r)
+        du, dn, after = np.empty((depth, 3 * HIDDEN, n), np.float32), np.empty((depth, HIDDEN, n), np.float32), np.zeros((HIDDEN, n), np.float32)
+        for t in range(depth - 1, -1, -1):
+            dh, d = ds[t], du[t]
+            dh += after
+            np.multiply(dh, by_new[t], out=dn[t])
+            np.multiply(dh, by_z[t], out=d[:HIDDEN])
+            np.multiply(dn[t], by_r[t], out=d[HIDDEN:two])
+            np.multiply(dn[t], r[t], out=d[two:])
+            np.matmul(p["u"], d, out=after)
+            dh *= z[t]
+            after += dh
+            after *= keep[t]
+        slopes["u"] = before.transpose(1, 0, 2).reshape(HIDDEN, -1) @ du.transpose(0, 2, 1).reshape(-1, 3 * HIDDEN)
+        du[:, two:] = dn
+        word = source.ravel()
+        by = np.argsort(word.astype(np.int16), kind="stable")
+        edge = np.flatnonzero(np.diff(word[by], prepend=-1))
+        touched = word[by][edge]
+        slopes["x"] = np.add.reduceat(du.transpose(0, 2, 1).reshape(-1, 3 * HIDDEN)[by], edge, axis=0)
         for k, g in slopes.items():
-            g = np.clip(g, -50, 50)
-            square[k] += g * g
-            p[k] -= RATE * g / np.sqrt(square[k] + 1e-3)
-    return total
+            rows = touched if k == "x" else slice(None)  # words that don't occur have no slope
+            np.minimum(g, 50, out=g)
+            np.maximum(g, -50, out=g)
+            root = square[k][rows] + g * g
+            square[k][rows] = root
+            g *= RATE
+            g /= np.sqrt(root + 1e-3)
+            p[k][rows] -= g
+    return np.bincount(dealt.number, weights=logs, minlength=len(docs))
 
 
 def _flat(p: dict[str, np.ndarray]) -> np.ndarray:
@@ -234,14 +321,18 @@ def train(training: DataFrame, words: Words, counts: np.ndarray) -> dict[str, np
             own, tokens = _unflat(begin), 0
             square = {k: np.zeros_like(v) for k, v in own.items()}
             for batch in batches:
-                docs = []
-                for _, raws in slices(batch.column(0).to_pylist()):
+                docs, size = [], 0
+                for _, raws in slices(texts_of(batch.column(0))):
                     hashed, first = token_hashes(raws)
                     number = _numbers(words, hashed)[1]
                     docs += [number[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
+                    size += len(number)
+                    if size >= GROUP:
+                        run(own, docs, TRAIN_LANES, square)
+                        tokens, docs, size = tokens + size, [], 0
                 if docs:
                     run(own, docs, TRAIN_LANES, square)
-                    tokens += sum(map(len, docs))
+                    tokens += size
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array([float(tokens)]), pa.array([(_flat(own).astype(np.float64) * tokens).tobytes()], pa.binary())], names=["weight", "sums"])
 
@@ -276,8 +367,8 @@ def score(documents: DataFrame) -> DataFrame:
         logs, in_tail = np.append(words.logs, 0.0), np.append(words.number == VOCABULARY - 1, False)
         known = np.append(words.logs > np.log10(0.5), False)
         for batch in batches:
-            docs, parts, rare = [], [[], [], []], []
-            for _, raws in slices(batch.column(1).to_pylist()):
+            docs, parts, rare, size, likely, lengths = [], [[], [], []], [], 0, [], []
+            for _, raws in slices(texts_of(batch.column(1))):
                 hashed, first = token_hashes(raws)
                 at, number = _numbers(words, hashed)
                 docs += [number[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
@@ -285,13 +376,19 @@ def score(documents: DataFrame) -> DataFrame:
                     out.append(np.add.reduceat(x.astype(float), first[:-1]))
                 absent = at == len(words.hashes)
                 rare += [hashed[a:b][absent[a:b]].view(np.int64) for a, b in zip(first[:-1], first[1:], strict=True)]
-            if not docs:
+                lengths += np.diff(first).tolist()
+                size += len(number)
+                if size >= GROUP:
+                    likely.append(run(p, docs, SCORE_LANES))
+                    docs, size = [], 0
+            if not lengths:
                 continue
+            if docs:
+                likely.append(run(p, docs, SCORE_LANES))
             sums = [np.concatenate(x) for x in parts]
             offset = np.concatenate(([0], np.cumsum([len(r) for r in rare])))
             rest = pa.ListArray.from_arrays(pa.array(offset, pa.int32()), pa.array(np.concatenate(rare)))
-            likely = run(p, docs, SCORE_LANES) / LN10 + sums[2]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(x) for x in docs], pa.int64()), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(likely), rest], names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(lengths, pa.int64()), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(np.concatenate(likely) / LN10 + sums[2]), rest], names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"])
 
     schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, rare array<bigint>"
     rows = stored(docs.select("doc_id", "text", "held_out").mapInArrow(each, schema).withColumn("row", F.monotonically_increasing_id()), "lm-rows")

@@ -7,7 +7,7 @@ batch; a single longer text makes a longer slice.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -39,7 +39,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def slices(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
+def slices(texts: Iterable[str | None]) -> Iterator[tuple[int, list[bytes]]]:
     """Runs of texts of about SLICE bytes, with the index of each run's first text; null counts as empty."""
     start, size, out = 0, 0, []
     for i, text in enumerate(texts):
