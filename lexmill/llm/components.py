@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import stored
+from lexmill.llm.common import discard, stored
 
 _EDGES = "a bigint, b bigint"
 
@@ -59,6 +59,12 @@ def _mark(edges: DataFrame) -> tuple:
     return row[0], row[1]
 
 
+def _least(edges: DataFrame) -> DataFrame:
+    """(n, m): the least neighbour m of each node n that has an edge (a = n).  It is stored, so that a join with it deals out both
+    sides anew and Spark can split a node with very many edges."""
+    return stored(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), "m"), "components")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for each node of edges (columns a, b; undirected); component is its least node.  No edges: no rows."""
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b")
@@ -66,12 +72,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     mark = _mark(edges)
     while mark[0]:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        least = _least(both)
+        large = both.where("b > a").join(least, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.least("a", "m").alias("b")).where("a != b").distinct()
         large = stored(large, "components")
-        least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), "m")
+        discard(edges, least)
+        least = _least(large)
         small = large.join(least, F.col("a") == F.col("n")).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*").where("a != b").distinct()
         edges = stored(small, "components")
+        discard(large, least)
         before, mark = mark, _mark(edges)
         if mark == before:
             break

@@ -2,10 +2,11 @@
 
 Lines are split at "\\n".  Shingles are SHINGLE consecutive code points (a shorter line is one shingle); one-permutation
 MinHash with BANDS bands of ROWS minima meets a pair of similarity 0.8 with a probability of 0.999.  Lines at 0.8 or more
-are linked, and of each component the first line (by doc_id, text hash, line number) stays.
+are linked, and of each component the first line (by doc_id, text hash, line number) stays.  Equal lines are one item: it is
+hashed once for each batch of lines, whatever its number of copies, and its text is moved once.
 
 Blank lines always stay.  Null texts have no lines; rows equal in id and text count as one document and are treated alike; a
-null id orders first; extra columns are ignored; an empty table gives no rows.
+null id orders first; extra columns are ignored (and kept, whatever their names, by ``dedup``); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import small, stored
+from lexmill.llm.common import discard, give_back, stored
 from lexmill.llm.shingles import char_shingles, mix, one_permutation
 from lexmill.llm.similarity import candidates, verified
 
@@ -48,38 +49,42 @@ def lines_of(documents: DataFrame) -> DataFrame:
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     salts = np.arange(BANDS, dtype=np.uint64) << np.uint64(56)
     for batch in batches:
-        keys = []
-        for lines in _chunks(batch.column(1).to_pylist()):
-            shingles, at, _ = char_shingles(lines, SHINGLE)
-            minima = one_permutation(shingles, at, BANDS * ROWS, SEED).astype(np.uint64).reshape(-1, BANDS, ROWS)
+        item, at = np.unique(batch.column(0).to_numpy(), return_index=True)
+        place = 0
+        for lines in _chunks(batch.column(1).take(pa.array(at)).to_pylist()):
+            shingles, first, _ = char_shingles(lines, SHINGLE)
+            minima = one_permutation(shingles, first, BANDS * ROWS, SEED).astype(np.uint64).reshape(-1, BANDS, ROWS)
             label = np.zeros(minima.shape[:2], np.uint64) + salts
             for r in range(ROWS):
                 label = mix(label * np.uint64(0x100000001B3) + minima[:, :, r])
-            keys.append(label.view(np.int64).ravel())
-        flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], names=["key", "item"])
+            own = item[place : place + len(lines)]
+            place += len(lines)
+            yield pa.RecordBatch.from_arrays([pa.array(label.view(np.int64).ravel()), pa.array(np.repeat(own, BANDS))], names=["key", "item"])
+    give_back()
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = []
-        for lines in _chunks(batch.column(2).to_pylist()):
-            shingles, at, _ = char_shingles(lines, SHINGLE)
-            found += [np.unique(shingles[a:b]).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(np.ones(len(found), np.int64)), pa.array(found, pa.binary())], names=["component", "item", "weight", "shingles"])
+def sets_of(lines: list[str]) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each line."""
+    out = []
+    for some in _chunks(lines):
+        shingles, at, _ = char_shingles(some, SHINGLE)
+        out += [np.unique(shingles[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+    return out
 
 
 def kept_lines(documents: DataFrame) -> DataFrame:
     """id, text_hash, line_no, component and kept of each line that is not blank."""
     lines = lines_of(documents)
-    near = stored(candidates(lines.select("item", "line").mapInArrow(_keys, "key bigint, item bigint")), "line-candidates").withColumnRenamed("node", "item")
-    chosen = lines.select("item", "line").join(small(near), "item").groupBy("item", "component").agg(F.min("line").alias("line"))
-    members = chosen.select("component", "item", "line").mapInArrow(_sets, "component bigint, item bigint, weight bigint, shingles binary")
-    sizes = stored(near.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "line-sizes")
-    _, linked = verified(members, small(sizes), THRESHOLD)
-    of = small(stored(linked.select(F.col("node").alias("item"), "component"), "line-linked"))
+    near = stored(candidates(lines.select("item", "line").mapInArrow(_keys, "key bigint, item bigint")), "line-candidates")
+    text = lines.groupBy("item").agg(F.min("line").alias("text")).join(near, F.col("item") == F.col("node"))
+    members = stored(text.select("component", "item", F.lit(1).cast("bigint").alias("weight"), "text"), "line-members")
+    discard(near)
+    _, linked = verified(members, sets_of, THRESHOLD)
+    of = stored(linked.select(F.col("node").alias("item"), "component"), "line-linked")
+    discard(members)
     rows = stored(lines.drop("line").join(of, "item", "left").select("id", "text_hash", "line_no", F.coalesce("component", "item").alias("component")), "lines")
-    first = rows.groupBy("component").agg(F.min(F.struct("id", "text_hash", "line_no")).alias("first"))
+    discard(of)
+    first = stored(rows.groupBy("component").agg(F.min(F.struct("id", "text_hash", "line_no")).alias("first")), "line-firsts")
     return rows.join(first, "component").withColumn("kept", F.struct("id", "text_hash", "line_no") == F.col("first")).drop("first")
 
 
@@ -88,17 +93,20 @@ def _removed(documents: DataFrame) -> DataFrame:
     return kept_lines(documents).distinct().groupBy("id", "text_hash").agg(F.count(F.lit(1)).alias("lines"), F.sort_array(F.collect_list(F.when(~F.col("kept"), F.col("line_no")))).alias("removed"))
 
 
+def _own(documents: DataFrame) -> list:
+    return [F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")]
+
+
 def report(documents: DataFrame) -> DataFrame:
     """doc_id, n_lines (not blank), n_kept and the numbers of the removed lines of each document."""
-    own = documents.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
-    out = own.join(_removed(documents), ["id", "text_hash"], "left")
+    out = documents.select(*_own(documents)).join(_removed(documents), ["id", "text_hash"], "left")
     n, removed = F.coalesce("lines", F.lit(0)).cast("bigint"), F.coalesce("removed", F.array().cast("array<int>"))
     return out.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), n.alias("n_lines"), (n - F.size(removed)).alias("n_kept"), removed.alias("removed_lines"))
 
 
 def dedup(documents: DataFrame) -> DataFrame:
     """The documents with their columns and without the removed lines."""
-    own = documents.withColumns({"_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)), "_hash": F.xxhash64(F.coalesce("text", F.lit("")))})
-    gone = _removed(documents).select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("removed").alias("_gone"))
-    left = F.filter(F.split("text", "\n"), lambda _, i: ~F.coalesce(F.array_contains("_gone", i), F.lit(False)))
-    return own.join(gone, ["_id", "_hash"], "left").withColumn("text", F.array_join(left, "\n")).select(*documents.columns)
+    own = documents.select(*_own(documents), F.struct(*(documents[c] for c in documents.columns)).alias("row"))
+    left = F.filter(F.split("row.text", "\n"), lambda _, i: ~F.coalesce(F.array_contains("removed", i), F.lit(False)))
+    out = own.join(_removed(documents), ["id", "text_hash"], "left").withColumn("left", F.array_join(left, "\n"))
+    return out.select(*(F.col("left").alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in documents.columns))

@@ -1,15 +1,13 @@
-"""N-gram Jaccard self-join of documents: MinHash LSH forest, then exact verification.
+"""N-gram Jaccard self-join of documents: MinHash LSH forest (``forest``), then exact verification.
 
 Shingles are NGRAM consecutive lower-case words (runs of characters other than space and 9 to 13); a text of fewer words has
-one, of all its words.  Each of TREES trees labels a document by a sequence of minima.  Documents are sorted under their
-labels' prefixes; the prefix is shortened from DEPTH minima on until a pair at the threshold is met in some tree with at
-least the probability RECALL.  (At one threshold for all pairs the depth at which that happens is the same everywhere, and
-longer matches lie within shorter ones, so only that depth's prefixes are laid out.)  All pairs that meet are verified on
-their exact shingle sets.
+one, of all its words.  Texts of equal shingle sets are one item; items that meet in the forest are verified on their exact
+shingle sets.
 
 Rows: one for each document with class_id (the least doc_id of its class; null if all are null), n_links (documents alike,
 copies counted) and n_text_links (different shingle sets alike).  Texts without words, null ones too, are alike to each
-other and to nothing else; texts of equal shingle sets have similarity 1; extra columns are ignored; no rows give no rows.
+other and to nothing else; texts of equal shingle sets have similarity 1; extra columns are ignored (and kept, whatever their
+names, by ``keep_one``); no rows give no rows.
 """
 
 from __future__ import annotations
@@ -22,79 +20,76 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import small, stored
-from lexmill.llm.shingles import mix, minhash, multipliers, slices, word_shingles
-from lexmill.llm.similarity import candidates, verified
+from lexmill.llm import forest
+from lexmill.llm.common import discard, give_back, stored, texts_of
+from lexmill.llm.shingles import minhash, multipliers, slices, word_shingles
+from lexmill.llm.similarity import verified
 
-NGRAM, THRESHOLD, TREES, DEPTH, RECALL, SEED = 5, 0.8, 16, 8, 0.999, 11
+NGRAM, THRESHOLD, SEED = 5, 0.8, 11
 NO_ID = -(1 << 63)
 
 
-def prefix_depth(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
-    """The longest prefix at which a pair at the threshold shares one in some tree with the wanted probability."""
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
-        depth -= 1
-    return depth
+def sets_of(n: int):
+    """From texts to the sorted distinct hashes of their shingles of n words."""
 
+    def of(texts: list[str]) -> list[np.ndarray]:
+        out = []
+        for _, raws in slices(t and t.lower() for t in texts):
+            shingles, at = word_shingles(raws, n)
+            out += [np.unique(shingles[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+        return out
 
-def _sets(raws: list[bytes], n: int) -> list[np.ndarray]:
-    shingles, at = word_shingles(raws, n)
-    return [np.unique(shingles[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+    return of
 
 
 def _item(shingles: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def signatures(documents: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
-    """id (null: NO_ID), text_hash, item (a hash of the shingle set) and the forest's keys of each document."""
-    depth = prefix_depth(threshold)
-    functions = multipliers(TREES * depth, SEED)
-    salts = np.arange(TREES, dtype=np.uint64) << np.uint64(56)
+def _keyed(documents: DataFrame) -> list:
+    return [F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")]
+
+
+def signatures(documents: DataFrame, n: int = NGRAM) -> DataFrame:
+    """id (null: NO_ID), text_hash, item (a hash of the shingle set) and the forest's label of each document (null: no words)."""
+    functions = multipliers(forest.TREES * forest.DEPTH, SEED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            items, keys = [], []
-            for _, raws in slices([t and t.lower() for t in batch.column(2).to_pylist()]):
+            items, labels = [], []
+            for _, raws in slices(t and t.lower() for t in texts_of(batch.column(2))):
                 shingles, at = word_shingles(raws, n)
                 full = np.flatnonzero(np.diff(at) > 0)
-                key = np.zeros((len(raws), TREES), np.uint64)
+                own: list[bytes | None] = [None] * len(raws)
                 if len(full):
-                    minima = minhash(shingles, np.append(at[:-1][full], at[-1]), functions).astype(np.uint64).reshape(len(full), TREES, depth)
-                    label = np.zeros((len(full), TREES), np.uint64) + salts
-                    for d in range(depth):
-                        label = mix(label * np.uint64(0x100000001B3) + minima[:, :, d])
-                    key[full] = label
+                    for i, label in zip(full.tolist(), forest.labels(minhash(shingles, np.append(at[:-1][full], at[-1]), functions)), strict=True):
+                        own[i] = label.tobytes()
                 items += [_item(np.unique(shingles[a:b])) for a, b in zip(at[:-1], at[1:], strict=True)]
-                filled = np.diff(at) > 0
-                keys += [row if ok else [] for row, ok in zip(key.view(np.int64).tolist(), filled.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(items, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "text_hash", "item", "keys"])
+                labels += own
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(items, pa.int64()), pa.array(labels, pa.binary())], names=["id", "text_hash", "item", "label"])
+        give_back()
 
-    docs = documents.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
-    return docs.mapInArrow(run, "id bigint, text_hash bigint, item bigint, keys array<bigint>")
+    return documents.select(*_keyed(documents), "text").mapInArrow(run, "id bigint, text_hash bigint, item bigint, label binary")
 
 
 def classes(documents: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
     """id, text_hash, item, class (an item), class_id, links and weight_links of each document."""
-    rows = stored(signatures(documents, n, threshold), "ngram-signatures")
-    items = stored(rows.groupBy("item").agg(F.count(F.lit(1)).alias("weight"), F.min(F.struct("id", "text_hash")).alias("first"), F.first("keys").alias("keys")), "ngram-items")
-    near = stored(candidates(items.select(F.explode("keys").alias("key"), "item")), "ngram-candidates").withColumnRenamed("node", "item")
+    signed = stored(signatures(documents, n), "ngram-signatures")
+    items = stored(signed.groupBy("item").agg(F.count(F.lit(1)).alias("weight"), F.min(F.struct("id", "text_hash")).alias("first"), F.first("label").alias("label")), "ngram-items")
+    near = stored(forest.candidates(items.where("label is not null").select("item", "label"), threshold), "ngram-candidates").withColumnRenamed("node", "item")
     chosen = stored(near.join(items, "item").select("item", "component", "weight", "first.id", "first.text_hash"), "ngram-chosen")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [s.tobytes() for _, raws in slices([t and t.lower() for t in batch.column(3).to_pylist()]) for s in _sets(raws, n)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.binary())], names=["component", "item", "weight", "shingles"])
-
-    texts = documents.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
-    members = texts.join(small(chosen), ["id", "text_hash"]).select("component", "item", "weight", "text").mapInArrow(sets, "component bigint, item bigint, weight bigint, shingles binary")
-    links, linked = verified(members, small(stored(chosen.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "ngram-sizes")), threshold)
+    texts = documents.select(*_keyed(documents), F.coalesce("text", F.lit("")).alias("text"))
+    members = stored(texts.join(chosen, ["id", "text_hash"]).select("component", "item", "weight", "text"), "ngram-members")
+    discard(chosen)
+    links, linked = verified(members, sets_of(n), threshold)
+    linked = stored(linked, "ngram-components")
     of = items.select("item", "weight", F.when(F.col("first.id") != NO_ID, F.col("first.id")).alias("least"))
     of = of.join(linked.select(F.col("node").alias("item"), "component"), "item", "left").join(links, "item", "left").withColumn("class", F.coalesce("component", "item"))
     of = stored(of, "ngram-linked")
-    ids = of.groupBy("class").agg(F.min("least").alias("class_id"))
-    of = of.join(ids, "class").select("item", "class", "class_id", F.coalesce("links", F.lit(0)).alias("links"), (F.coalesce("weight_links", F.lit(0)) + F.col("weight") - 1).alias("weight_links"))
-    return rows.drop("keys").join(small(stored(of, "ngram-classes")), "item")
+    discard(members, linked)
+    ids = stored(of.groupBy("class").agg(F.min("least").alias("class_id")), "ngram-ids")
+    of = stored(of.join(ids, "class").select("item", "class", "class_id", F.coalesce("links", F.lit(0)).alias("links"), (F.coalesce("weight_links", F.lit(0)) + F.col("weight") - 1).alias("weight_links")), "ngram-classes")
+    return signed.drop("label").join(of, "item")
 
 
 def join(documents: DataFrame) -> DataFrame:
@@ -107,6 +102,7 @@ def keep_one(documents: DataFrame) -> DataFrame:
     found = stored(classes(documents), "ngram-found")
     kept = stored(found.groupBy("class").agg(F.min(F.struct("id", "text_hash")).alias("k")).select("k.id", "k.text_hash"), "ngram-kept")
     repeated = found.groupBy("id", "text_hash").count().where("count > 1").limit(1).count() > 0
-    own = documents.withColumns({"_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)), "_hash": F.xxhash64(F.coalesce("text", F.lit("")))})
-    out = own.join(small(kept).select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash")), ["_id", "_hash"], "left_semi")
-    return (out.dropDuplicates(["_id", "_hash"]) if repeated else out).select(*documents.columns)
+    own = documents.select(*_keyed(documents), F.struct(*(documents[c] for c in documents.columns)).alias("row"))
+    out = own.join(kept, ["id", "text_hash"], "left_semi")
+    out = out.dropDuplicates(["id", "text_hash"]) if repeated else out
+    return out.select(*(F.col("row").getField(c).alias(c) for c in documents.columns))

@@ -1,9 +1,9 @@
-"""Items that are alike by exact Jaccard similarity of shingle sets, from candidate keys to verified links.
+"""Items that are alike by exact Jaccard similarity of shingle sets, from candidate links to verified ones.
 
-Items that share a key are chained, not paired; the chains' connected components hold all candidate pairs.  Components are
-cut into blocks of about BLOCK items by a hash, and each pair of blocks is verified in one task, so no component, however
-large, has to meet in one task, and no pair is ever a row.  Verified pairs come out as counts of links for each item and as
-a spanning forest.
+The connected components of the candidate links hold all candidate pairs.  Components are cut into blocks of about BLOCK items
+and BLOCK_CHARS code points by a hash, and each pair of blocks is verified in one task, so no component, however large, has to
+meet in one task, and no pair is ever a row.  What is moved are the items' texts, not their shingles.  Verified pairs come out
+as counts of links for each item and as a spanning forest.
 """
 
 from __future__ import annotations
@@ -15,12 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import partitions, stored
-from lexmill.llm.components import Union, connected_components
+from lexmill.llm.common import discard, give_back, partitions, stored
+from lexmill.llm.components import connected_components
 
-BLOCK = 256
+BLOCK, BLOCK_CHARS = 256, 1 << 20
 #: Cells of the incidence matrix that a task multiplies at once.
-CELLS = 1 << 23
+CELLS = 1 << 21
+#: From texts to sorted arrays of distinct shingle hashes.
+Sets = Callable[[list[str]], list[np.ndarray]]
+_FOUND = ("item", "links", "weight_links", "root")
 
 
 def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,8 +60,9 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
     out = np.zeros((len(left), len(right)), np.float32)
-    width = max(1, CELLS // len(sets))
-    for start in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+    columns = int(column[-1]) + 1 if len(column) else 0
+    width = min(max(1, CELLS // len(sets)), columns)
+    for start in range(0, columns, max(1, width)):
         a, b = np.searchsorted(column, (start, start + width))
         grid = np.zeros((len(sets), width), np.float32)
         grid[row[a:b], column[a:b] - start] = 1
@@ -66,66 +70,91 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _alike(left: list[np.ndarray], right: list[np.ndarray], threshold: float) -> np.ndarray:
+def alike(left: list[np.ndarray], right: list[np.ndarray], threshold: float) -> np.ndarray:
     shared = overlaps(left, right).astype(np.float64)
     total = np.array([len(s) for s in left])[:, None] + np.array([len(s) for s in right])[None, :] - shared
     return (shared > 0) & (shared >= threshold * total)
 
 
-def _verify(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (component, i, j, block, item, weight, shingles) sorted by the first three: links of each (i, j) group."""
-
-    def one(block_pair: tuple[int, int], rows: dict[int, tuple[int, int, np.ndarray]]) -> tuple[list, list, list, list]:
-        i, j = block_pair
-        sides = [[(item, weight, s) for item, (block, weight, s) in rows.items() if block == b] for b in (i, j)]
-        if not sides[0] or not sides[1]:
-            return [], [], [], []
-        near = _alike([s for *_, s in sides[0]], [s for *_, s in sides[1]], threshold)
+def _roots(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least item of each item's component in a bipartite graph (an item may stand on both sides)."""
+    far = np.iinfo(np.int64).max
+    rows, columns = left.copy(), right.copy()
+    while True:
+        new_rows = np.minimum(rows, np.where(near, columns, far).min(1))
+        new_columns = np.minimum(columns, np.where(near, new_rows[:, None], far).min(0))
+        if (new_rows == rows).all() and (new_columns == columns).all():
+            return rows, columns
+        rows, columns = new_rows, new_columns
+
+
+def _verify(threshold: float, sets_of: Sets) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (component, i, j, block, item, weight, text) sorted by the first three: links of each (i, j) group."""
+
+    def one(i: int, j: int, parts: list[pa.RecordBatch]) -> list[np.ndarray] | None:
+        table = pa.Table.from_batches(parts)
+        item, at = np.unique(table.column("item").to_numpy(), return_index=True)
+        block, weight = table.column("block").to_numpy()[at], table.column("weight").to_numpy()[at]
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        if len(item) < 2 or not len(left) or not len(right):
+            return None
+        sets = sets_of(table.column("text").take(pa.array(at)).to_pylist())
+        near = alike([sets[k] for k in left], [sets[k] for k in right], threshold)
         if i == j:
             np.fill_diagonal(near, False)
-        weights = [np.array([w for _, w, _ in side]) for side in sides]
-        found: dict[int, list[int]] = {}
-        for side, hits, other in ((sides[0], near, weights[1]), *(((sides[1], near.T, weights[0]),) if i != j else ())):
-            for (item, _, _), row in zip(side, hits, strict=True):
-                if row.any():
-                    found[item] = [int(row.sum()), int(other[row].sum())]
-        union = Union()
-        for x, y in zip(*np.nonzero(near), strict=True):
-            union.join(sides[0][x][0], sides[1][y][0])
-        items = list(found)
-        return items, [found[k][0] for k in items], [found[k][1] for k in items], [union.find(k) for k in items]
-
-    def batch_of(parts: list[tuple[list, list, list, list]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([x for p in parts for x in p[k]], pa.int64()) for k in range(4)], names=["item", "links", "weight_links", "root"])
+        if not near.any():
+            return None
+        rows, columns = _roots(near, item[left], item[right])
+        out = [(item[left], near.sum(1), near @ weight[right], np.minimum(rows, columns) if i == j else rows)]
+        if i != j:
+            out.append((item[right], near.sum(0), weight[left] @ near, columns))
+        linked = [side[1] > 0 for side in out]
+        return [np.concatenate([side[k][where] for side, where in zip(out, linked, strict=True)]).astype(np.int64) for k in range(4)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows, parts = None, {}, []
+        now, held, ready = None, [], []
+
+        def done() -> None:
+            if held and (len(held) > 1 or held[0].num_rows > 1) and (found := one(now[1], now[2], held)):
+                ready.append(found)
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([r[k] for r in ready])) for k in range(4)], names=list(_FOUND))
+
         for batch in batches:
-            for component, i, j, block, item, weight, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (component, i, j) != now:
-                    if len(rows) > 1:
-                        parts.append(one(now[1:], rows))
-                    now, rows = (component, i, j), {}
-                rows[item] = block, weight, np.frombuffer(shingles, np.uint64)
-            if len(parts) > 1000:
-                yield batch_of(parts)
-                parts = []
-        if len(rows) > 1:
-            parts.append(one(now[1:], rows))
-        yield batch_of(parts)
+            if not batch.num_rows:
+                continue
+            keys = np.column_stack([batch.column(k).to_numpy() for k in range(3)])
+            cut = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(keys)], strict=True):
+                if now != (key := tuple(keys[a].tolist())):
+                    done()
+                    now, held = key, []
+                held.append(batch.slice(a, b - a))
+            if len(ready) > 1000:
+                yield out()
+                ready = []
+        done()
+        if ready:
+            yield out()
+        held = []
+        give_back()
 
     return run
 
 
-def verified(members: DataFrame, sizes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """From members (component, item, weight, shingles: sorted distinct hashes) and sizes (component, n) of the candidate
-    components: (item, links, weight_links) and (node, component) of the items with links."""
+def verified(members: DataFrame, sets_of: Sets, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """From members (component, item, weight, text; stored) of the candidate components: (item, links, weight_links) and
+    (node, component) of the items with links."""
     spark = members.sparkSession
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = members.join(sizes, "component").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("item"), "blocks").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "item", "weight", "shingles")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("chars") / BLOCK_CHARS)).cast("int")
+    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+    large = stored(sizes.select("component", blocks.alias("blocks")).where("blocks > 1"), "large-components")
+    dealt = members.join(large, "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("item"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "item", "weight", "text")
     groups = dealt.repartition(2 * partitions(spark), "component", "i", "j").sortWithinPartitions("component", "i", "j")
-    found = stored(groups.mapInArrow(_verify(threshold), "item bigint, links bigint, weight_links bigint, root bigint"), "links")
+    found = stored(groups.mapInArrow(_verify(threshold, sets_of), "item bigint, links bigint, weight_links bigint, root bigint"), "links")
+    discard(large)
     links = found.groupBy("item").agg(F.sum("links").alias("links"), F.sum("weight_links").alias("weight_links"))
     return links, connected_components(found.select(F.col("item").alias("a"), F.col("root").alias("b")))
