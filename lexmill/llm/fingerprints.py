@@ -6,6 +6,9 @@ uniform draw b come from a hash of term and sample; a term of weight w gets t =
 c exp(-r (t - b + 1)), and the sample is the (term, t) of the least value.  Two texts agree in a sample with a probability
 equal to their generalised Jaccard similarity, so the share of equal samples estimates it.
 
+What a (term, weight) draws is the same in every text.  So the samples of the commonest terms at low weights are drawn once, into
+a table of at most 2 * HEAD rows that is broadcast; all others are drawn where they occur, by the same expressions.
+
 Order for "the next document": descending doc_id, null ids last, equal ids by a hash of the text; after the last comes the
 first.  Rows equal in id and text share one place and one result, returned once for each.  Null texts count as empty; extra
 columns are ignored; an empty table gives no rows.
@@ -21,6 +24,8 @@ from pyspark.sql import functions as F
 from lexmill.llm.common import partitions, stored
 
 SAMPLES = 64
+#: Terms whose samples are drawn beforehand, at most; the one of rank k at weights up to the square root of HEAD / k.
+HEAD = 1 << 15
 #: Hex digits of a sample in the fingerprint.
 DIGITS = 4
 #: Stands for a null id, so that keys are never null.
@@ -31,7 +36,7 @@ _KEY = ("id", "text_hash")
 def following(rows: DataFrame) -> DataFrame:
     """rows (distinct in id, text_hash; small ones) with next_id and next_text_hash in the circular order."""
     order = [F.col("id").desc(), F.col("text_hash")]
-    dealt = stored(rows.repartitionByRange(partitions(rows.sparkSession), F.col("id").desc()).withColumn("part", F.spark_partition_id()), "fingerprint-order")
+    dealt = stored(rows.repartitionByRange(partitions(rows.sparkSession), *order).withColumn("part", F.spark_partition_id()), "fingerprint-order")
     own = Window.partitionBy("part").orderBy(*order)
     pair = F.struct(*_KEY)
     # One row for each part; its first row follows the last row of the part before.
@@ -64,16 +69,45 @@ def _sample(i: int) -> Column:
     return F.shiftleft((value * float(1 << 34)).cast("bigint"), 24).bitwiseOR(code)
 
 
-def fingerprints(texts: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
-    """keys and fingerprint: the hex digits of each sample in turn.  Keys identify the rows of texts; where texts is dealt
-    out by some of them, nothing is dealt out again."""
+def _words(texts: DataFrame, keys: list[str]) -> DataFrame:
     words = texts.select(*keys, F.explode(F.split(F.btrim(F.lower("text"), F.lit(" \t\n\x0b\x0c\r")), "[\\x20\\x09-\\x0D]+")).alias("word"))
-    terms = words.select(*keys, F.xxhash64("word").alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("weight"))
-    terms = terms.select(*keys, "term", F.ln(F.col("weight").cast("double")).alias("log_weight"))
+    return words.select(*keys, F.xxhash64("word").alias("term"))
+
+
+def common_draws(texts: DataFrame, samples: int = SAMPLES, head: int = HEAD) -> DataFrame:
+    """(head_term, head_weight, draws): all samples of the commonest terms at low weights, to be broadcast.
+
+    Terms are taken by steps of their counts, so that no task or driver sorts them; a step that would exceed `head` ends it."""
+    counts = stored(_words(texts, []).groupBy("term").agg(F.count(F.lit(1)).alias("n")), "term-counts")
+    step = F.floor(F.log2(F.col("n").cast("double")) * 8).cast("int")
+    most, rank = {}, 0
+    for r in counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("terms")).orderBy(F.desc("step")).collect():
+        rank += r.terms
+        if rank > head:
+            break
+        most[r.step] = int((head / rank) ** 0.5)
+    if not most:
+        return counts.sparkSession.createDataFrame([], "head_term bigint, head_weight bigint, draws array<bigint>")
+    upto = reduce(lambda case, x: case.when(step == x[0], x[1]), list(most.items())[1:], F.when(step == next(iter(most)), next(iter(most.values()))))
+    terms = counts.where(step >= min(most)).select("term", F.explode(F.sequence(F.lit(1), upto)).alias("weight"))
+    terms = terms.select("term", F.col("weight").cast("bigint").alias("weight"), F.ln(F.col("weight").cast("double")).alias("log_weight"))
+    scaled = terms.select("term", "weight", *(c for i in range(samples) for c in _scaled(i)))
+    drawn = stored(scaled.select("term", "weight", *(_sample(i).alias(f"s{i}") for i in range(samples))), "term-draws")
+    return drawn.select(F.col("term").alias("head_term"), F.col("weight").alias("head_weight"), F.array(*(f"s{i}" for i in range(samples))).alias("draws"))
+
+
+def fingerprints(texts: DataFrame, keys: list[str], samples: int = SAMPLES, draws: DataFrame | None = None) -> DataFrame:
+    """keys and fingerprint: the hex digits of each sample in turn.  Keys identify the rows of texts; where texts is dealt
+    out by some of them, nothing is dealt out again.  draws: those of the common terms, if they were made before."""
+    draws = common_draws(texts, samples) if draws is None else draws
+    terms = _words(texts, keys).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("weight"))
+    terms = terms.join(F.broadcast(draws), (F.col("term") == F.col("head_term")) & (F.col("weight") == F.col("head_weight")), "left")
+    terms = terms.select(*keys, "term", "draws", F.ln(F.col("weight").cast("double")).alias("log_weight"))
     # More than spark.sql.codegen.maxFields columns: Spark then compiles each in a method of its own, short enough for the JVM's
     # compiler, and not all samples in one.
-    terms = terms.select(*keys, "term", *(c for i in range(samples) for c in _scaled(i)))
-    least = terms.groupBy(*keys).agg(*(F.min(_sample(i)).alias(f"s{i}") for i in range(samples)))
+    rare = F.col("draws").isNull()
+    terms = terms.select(*keys, "term", "draws", *(F.when(rare, c).alias(f"{'te'[k]}{i}") for i in range(samples) for k, c in enumerate(_scaled(i))))
+    least = terms.groupBy(*keys).agg(*(F.min(F.when(rare, _sample(i)).otherwise(F.get("draws", F.lit(i)))).alias(f"s{i}") for i in range(samples)))
     digits = [F.lpad(F.lower(F.hex(F.col(f"s{i}").bitwiseAND(F.lit((1 << 4 * DIGITS) - 1)))), DIGITS, "0") for i in range(samples)]
     return least.select(*keys, F.concat(*digits).alias("fingerprint"))
 
@@ -98,13 +132,14 @@ def near_edits(documents: DataFrame) -> DataFrame:
     before = order.select(F.col("next_id").alias("id"), F.col("next_text_hash").alias("text_hash"), F.col("id").alias("taker"), F.col("text_hash").alias("taker_hash"), F.floor(F.col("n_chars") / 3).cast("int").alias("part"))
     given = own.join(before, list(_KEY)).select(F.col("taker").alias("id"), F.col("taker_hash").alias("text_hash"), F.expr("substring(text, 1, part)").alias("beginning"))
     edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 3) as int))"), "beginning")
-    both = own.join(given, list(_KEY)).select(*_KEY, F.posexplode(F.array(F.col("text"), edited)).alias("edit", "text"))
-    found = fingerprints(both, [*_KEY, "edit"])
+    changed = own.join(given, list(_KEY)).select(*_KEY, "text", edited.alias("edited"))
+    # The digest goes along as a key: one pass over the texts makes all.
+    both = changed.select(*_KEY, F.sha2("edited", 256).alias("edited_sha256"), F.posexplode(F.array("text", "edited")).alias("edit", "text"))
+    found = fingerprints(both, [*_KEY, "edited_sha256", "edit"], draws=common_draws(documents.select(F.coalesce("text", F.lit("")).alias("text"))))
     pick = lambda e: F.max(F.when(F.col("edit") == e, F.col("fingerprint")))
-    prints = stored(found.groupBy(*_KEY).agg(pick(0).alias("fingerprint"), pick(1).alias("edited_fingerprint")), "fingerprints")
-    digests = both.where("edit = 1").select(*_KEY, F.sha2("text", 256).alias("edited_sha256"))
+    prints = stored(found.groupBy(*_KEY, "edited_sha256").agg(pick(0).alias("fingerprint"), pick(1).alias("edited_fingerprint")), "fingerprints")
     ends = prints.select(F.col("id").alias("next_id"), F.col("text_hash").alias("next_text_hash"), F.col("fingerprint").alias("next_print"))
-    out = digests.join(prints, list(_KEY)).join(order, list(_KEY)).join(ends, ["next_id", "next_text_hash"])
+    out = prints.join(order, list(_KEY)).join(ends, ["next_id", "next_text_hash"])
     return out.select(
         F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"),
         F.col("n_chars").cast("bigint").alias("n_chars"),
