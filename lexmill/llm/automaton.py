@@ -153,7 +153,6 @@ class Automaton:
     class_of: np.ndarray
     classes: int
     accepts: np.ndarray
-    dead: int
 
     def states(self, data: np.ndarray) -> np.ndarray:
         """The state after each byte, in one pass: the bytes are cut into lanes that run side by side from the start
@@ -190,29 +189,41 @@ class Automaton:
         at = np.flatnonzero(bits)
         return at, bits[at]
 
-    def longest(self, data: bytes, start: int) -> int:
-        """End of the longest match that begins at start, or -1."""
+    def longest(self, data: bytes, start: int, rule: int) -> int:
+        """End of the longest match of a rule that is known to begin at start, for rules whose matches, once long enough, go on
+        byte by byte: it stops at the first byte after which the match no longer ends."""
         state, best, table, class_of, classes, accepts = 0, -1, self._table, self._class_of, self.classes, self._accepts
         for i in range(start, len(data)):
             state = table[state + class_of[data[i]]]
-            if state == self.dead:
-                break
-            if accepts[state // classes]:
+            if accepts[state // classes] >> rule & 1:
                 best = i + 1
+            elif best > 0:
+                break
         return best
 
     def __post_init__(self) -> None:
         self._table, self._class_of, self._accepts = self.table.tolist(), self.class_of.tolist(), self.accepts.tolist()
-        self.first = bytes(b for b in range(256) if self._table[self._class_of[b]] != self.dead)
 
 
-def compile_rules(rules: list[tuple[str, bool]], search: bool) -> Automaton:
-    """One automaton for all (pattern, ignore_case) rules; with search it looks for each of them from every position."""
+def _turned(node):
+    """The same expression for the bytes in reverse order."""
+    kind = node[0]
+    if kind == "and":
+        return ("and", [_turned(n) for n in node[1][::-1]])
+    if kind == "or":
+        return ("or", [_turned(n) for n in node[1]])
+    return node if kind == "set" else ("repeat", _turned(node[1]), *node[2:])
+
+
+def compile_rules(rules: list[tuple[str, bool]], backwards: bool = False) -> Automaton:
+    """One automaton that looks for all (pattern, ignore_case) rules from every position; backwards it reads bytes in reverse
+    order, so that it accepts where matches begin."""
     nfa = _Nfa()
     root = nfa.state()
     ends: dict[int, int] = {}
     for bit, (pattern, ignore_case) in enumerate(rules):
-        a, b = _fragment(nfa, _Parser(pattern, ignore_case).choice())
+        node = _Parser(pattern, ignore_case).choice()
+        a, b = _fragment(nfa, _turned(node) if backwards else node)
         nfa.empty[root].append(a)
         ends[b] = 1 << bit
 
@@ -240,12 +251,9 @@ def compile_rules(rules: list[tuple[str, bool]], search: bool) -> Automaton:
         row = []
         for c in range(n):
             byte = sample[c]
-            if byte == SEPARATOR:
-                target = start if search else frozenset()
-            else:
-                target = closure({e[1] for s in current if (e := nfa.edge[s]) and byte in e[0]})
-                if search:
-                    target |= start
+            target = start
+            if byte != SEPARATOR:
+                target = start | closure({e[1] for s in current if (e := nfa.edge[s]) and byte in e[0]})
             if target not in index:
                 index[target] = len(index)
                 todo.append(target)
@@ -272,5 +280,4 @@ def compile_rules(rules: list[tuple[str, bool]], search: bool) -> Automaton:
     group = order[group]
     _, member = np.unique(group, return_index=True)
     small = group[table[member]]
-    dead = index.get(frozenset())
-    return Automaton((small * n).astype(np.int32).ravel(), class_of, n, mask[member], int(group[dead]) * n if dead is not None else -1)
+    return Automaton((small * n).astype(np.int32).ravel(), class_of, n, mask[member])

@@ -1,6 +1,7 @@
 """Personal data by a semi-Markov conditional random field over whole spans.
 
-Base spans come from four fixed patterns and always stay.  Around tokens with a digit or an "@" the field scores candidate
+Base spans come from four fixed patterns and always stay.  The field is run over tokens with a digit or an "@" alone, so what has
+neither ("john at example dot com") is never scored.  There it scores candidate
 segments of at most LONGEST tokens by features of the whole span (digits, Luhn sum, address parts, signs, the word before, a
 base match of a kind), and a dynamic program chooses boundaries and types of a window jointly.  Segments that it labels and
 that touch no base span are added.  The field is trained by its exact likelihood on seeded made-up windows: no document is
@@ -15,13 +16,17 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lexmill.llm.common import texts_of
+
 KINDS = ("email", "ip", "card", "phone")
 LONGEST = 8
 #: The base patterns.
@@ -32,6 +37,9 @@ PATTERNS = (
     re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 )
 SCHEMA = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string"
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+_NUMBERS = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _TRIGGER = re.compile("[0-9@]")
 _GAP = re.compile("[\x20\x09-\x0d]")
 _CUES = tuple(re.compile(c) for c in (r"e-?mail|contact", r"\bip\b|host|server|address", r"card|visa|credit", r"phone|tel\b|call|mobile|fax"))
@@ -51,12 +59,39 @@ def _passes(kind: int, match: str) -> bool:
     return 13 <= len(digits) <= 19 and luhn(digits) if kind == 2 else 9 <= len(digits) <= 15
 
 
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """The first pattern's matches, found from each "@" outwards: linear in the text, whatever runs it holds."""
+    after, at = 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > after and text[start - 1] in _LOCAL:
+            start -= 1
+        if start < at and (domain := _DOMAIN.match(text, at + 1)):
+            after = domain.end()
+            yield start, after
+        else:
+            after = at + 1
+        at = text.find("@", after)
+
+
+def _addresses(text: str) -> Iterator[tuple[int, int]]:
+    """The second pattern's matches: each four numbers in turn of a run of numbers joined by dots; linear in the text."""
+    for run in _NUMBERS.finditer(text):
+        dots = run[0].split(".")
+        at = run.start()
+        for i in range(0, len(dots) - 3, 4):
+            size = sum(map(len, dots[i : i + 4])) + 3
+            yield at, at + size
+            at += size + 1
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) in order of kind, then start."""
-    out = []
-    for kind, (sign, pattern) in enumerate(zip(("@", ".", "", "+"), PATTERNS, strict=True)):
-        if sign in text:
-            out += [(kind, m.start(), m.end()) for m in pattern.finditer(text) if _passes(kind, m[0])]
+    out = [(0, a, b) for a, b in _emails(text)]
+    if "." in text:
+        out += [(1, a, b) for a, b in _addresses(text) if _passes(1, text[a:b])]
+    for kind in (2, 3):
+        out += [(kind, m.start(), m.end()) for m in PATTERNS[kind].finditer(text) if _passes(kind, m[0])]
     return out
 
 
@@ -109,7 +144,7 @@ def features(text: str, start: int, end: int, tokens: int, base: set[tuple[int,
             s.count("@") == 1,
             "@" in s and "." in s.rpartition("@")[2],
             letters,
-            len(parts) == 4 and all(p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts),
+            len(parts) == 4 and all(re.fullmatch("[0-9]{1,3}", p) and int(p) <= 255 for p in parts),
             13 <= n <= 19 and not letters and luhn(digits),
             s.startswith("+"),
             "(" in s and ")" in s,
@@ -138,15 +173,15 @@ def _lattice(text: str, run: list[tuple[int, int]], base: set[tuple[int, int, in
 
 
 def decode(text: str, run: list[tuple[int, int]], weights: np.ndarray, base: set[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """The best segmentation's entities; tokens outside of entities score 0."""
-    lattice = _lattice(text, run, base)
+    """The best segmentation's entities; tokens outside of entities score 0.  Segments are scored as the dynamic program meets
+    them, so memory holds a step for each token of the window."""
     best: list[tuple[float, tuple | None]] = [(0.0, None)]
     for j in range(1, len(run) + 1):
         choice = (best[j - 1][0], None)
         for i in range(max(0, j - LONGEST), j):
-            if (i, j) in lattice:
-                a, b, f = lattice[i, j]
-                scores = weights @ f
+            a, b = _trim(text, run[i][0], run[j - 1][1])
+            if a < b:
+                scores = weights @ features(text, a, b, j - i, base)
                 kind = int(scores.argmax())
                 if best[i][0] + scores[kind] > choice[0]:
                     choice = best[i][0] + scores[kind], (i, kind, a, b)
@@ -252,7 +287,15 @@ def find(text: str | None, weights: np.ndarray) -> tuple[list[tuple[int, int, in
         return [], []
     base = base_spans(text)
     known = set(base)
-    added = [s for run in windows(text) for s in decode(text, run, weights, known) if not any(s[1] < e and a < s[2] for _, a, e in base)]
+    # Base spans by start, and the furthest end of those that start no later: what an added span would touch.
+    order = sorted((a, e) for _, a, e in base)
+    begins, reach = [a for a, _ in order], list(accumulate((e for _, e in order), max))
+    added = []
+    for run in windows(text):
+        for kind, a, e in decode(text, run, weights, known):
+            i = bisect_left(begins, e)
+            if not i or reach[i - 1] <= a:
+                added.append((kind, a, e))
     return base, sorted(known | set(added))
 
 
@@ -266,7 +309,7 @@ def scan(documents: DataFrame, id_column: str = "doc_id", text_column: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [find(t, weights) for t in batch.column(1).to_pylist()]
+            found = [find(t, weights) for t in texts_of(batch.column(1))]
             counts = [pa.array([sum(s[0] == k for s in base) for base, _ in found], pa.int64()) for k in range(4)]
             digests = pa.array([hashlib.sha256(_said(base).encode()).hexdigest() for base, _ in found], pa.string())
             spans = pa.array([_said(every) for _, every in found], pa.string())

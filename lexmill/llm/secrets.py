@@ -1,14 +1,18 @@
 """Secret scans: all rules compiled into one minimised byte automaton that reads every text once.
 
-The combined automaton tells which texts hold a match of which rule.  In those texts alone the spans are then taken rule
-by rule, leftmost and without overlap, by each rule's own anchored automaton.  Null texts count as empty and give no
+The rules are compiled together twice: backwards for the pass over all bytes, which tells at every byte which rules have a match
+that begins there, and forwards for the ends.  Of each rule the first beginning that is not inside the match before counts; from
+there the forward automaton is followed through the match alone to its longest end.  So work is linear in the text, whatever
+beginnings it holds, and a text is read rule by rule nowhere.
+
+Base rules come out leftmost and without overlap for each kind, failing matches dropped.  Null texts count as empty and give no
 spans; repeated rows give a row each; extra columns are ignored.  Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -16,9 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lexmill.llm.automaton import SEPARATOR, Automaton, compile_rules
+from lexmill.llm.common import give_back, texts_of
 from lexmill.llm.shingles import slices
 
-#: Fixed values: (kind, pattern, letters in either case, shortest match).  The first three kinds are the base.
+#: Fixed values: (kind, pattern, letters in either case, shortest match that counts).  The first three kinds are the base.
 RULES: tuple[tuple[str, str, bool, int], ...] = (
     ("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=\-]+""", True, 0),
     ("access", r"AKIA[A-Z0-9]+", False, 20),
@@ -28,26 +33,17 @@ RULES: tuple[tuple[str, str, bool, int], ...] = (
     ("jwt", r"eyJ[A-Za-z0-9_\-]+\.eyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+", False, 40),
     ("pem", r"\-\-\-\-\-BEGIN\x20([A-Z]+\x20)*PRIVATE\x20KEY\-\-\-\-\-", False, 0),
 )
-#: The same rules as the combined automaton looks for them: a beginning that every match that counts has, short enough
-#: for few states.
-TRIGGERS: tuple[tuple[str, bool], ...] = (
-    (r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=\-]{2}""", True),
-    (r"AKIA[A-Z0-9]", False),
-    (r"[0-9a-f]{12}", False),
-    (r"gh[oprsu]_[A-Za-z0-9]", False),
-    (r"xox[abprs]\-", False),
-    (r"eyJ[A-Za-z0-9_\-]+\.eyJ", False),
-    (r"\-\-\-\-\-BEGIN\x20[A-Z]", False),
-)
 BASE = ("assign", "access", "hex")
 SCHEMA = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string"
 
 
 @cache
-def automata() -> tuple[Automaton, tuple[Automaton, ...]]:
-    """The combined search automaton and each rule's own, compiled once in each process."""
-    own = tuple(compile_rules([(pattern, fold)], search=False) for _, pattern, fold, _ in RULES)
-    return compile_rules(list(TRIGGERS), search=True), own
+def automata() -> tuple[Automaton, Automaton]:
+    """All rules backwards, and forwards; compiled once in each process."""
+    rules = [(pattern, fold) for _, pattern, fold, _ in RULES]
+    # Every byte of a hex run begins a match of the rule; backwards only those count that have enough bytes after them.
+    enough = [(f"{pattern[:-1]}{{{least},}}" if kind == "hex" else pattern, fold) for kind, pattern, fold, least in RULES]
+    return compile_rules(enough, backwards=True), compile_rules(rules)
 
 
 def _passes(rule: int, match: bytes) -> bool:
@@ -58,28 +54,30 @@ def _passes(rule: int, match: bytes) -> bool:
     return len(value) - (value[:1] in (b'"', b"'")) >= 6
 
 
-def _spans(raw: bytes, rule: int, automaton: Automaton) -> Iterator[tuple[int, int]]:
-    i, starts = 0, np.isin(np.frombuffer(raw, np.uint8), np.frombuffer(automaton.first, np.uint8))
-    for at in np.flatnonzero(starts).tolist():
-        if at >= i and (end := automaton.longest(raw, at)) > 0:
-            if _passes(rule, raw[at:end]):
-                yield at, end
-            i = end
-
-
-def find(texts: list[str | None]) -> list[list[tuple[int, int, int]]]:
+def find(texts: Iterable[str | None]) -> list[list[tuple[int, int, int]]]:
     """For each text its spans (start, rule, end) in order."""
-    combined, own = automata()
-    out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    back, ahead = automata()
+    out: list[list[tuple[int, int, int]]] = []
     for first, raws in slices(texts):
-        data = np.frombuffer(bytes([SEPARATOR]).join([*raws, b""]), np.uint8)
-        at, bits = combined.hits(data)
-        text = np.searchsorted(np.cumsum([len(r) + 1 for r in raws]), at, side="right")
-        for i in np.unique(text).tolist():
-            raw, wanted = raws[i], int(np.bitwise_or.reduce(bits[text == i]))
-            points = np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
-            point = lambda b, points=points: int(points[b - 1]) if b else 0
-            out[first + i] = sorted((point(a), k, point(b)) for k in range(len(RULES)) if wanted >> k & 1 for a, b in _spans(raw, k, own[k]))
+        out += [[] for _ in raws]
+        whole = bytes([SEPARATOR]).join([*raws, b""])
+        data = np.frombuffer(whole, np.uint8)
+        at, bits = back.hits(data[::-1])
+        starts, bits = len(data) - 1 - at[::-1], bits[::-1]
+        ends = np.cumsum([len(r) + 1 for r in raws])
+        found: dict[int, list[tuple[int, int, int]]] = {}
+        for rule in range(len(RULES)):
+            begins, i = starts[bits >> rule & 1 == 1], 0
+            while i < len(begins):
+                a = int(begins[i])
+                b = ahead.longest(whole, a, rule)
+                if _passes(rule, whole[a:b]):
+                    found.setdefault(int(np.searchsorted(ends, a, side="right")), []).append((a, rule, b))
+                i = int(np.searchsorted(begins, b))
+        for k, spans in found.items():
+            begin = int(ends[k]) - len(raws[k]) - 1
+            points = np.concatenate(([0], np.cumsum((np.frombuffer(raws[k], np.uint8) & 0xC0) != 0x80)))
+            out[first + k] = sorted((int(points[a - begin]), rule, int(points[b - begin])) for a, rule, b in spans)
     return out
 
 
@@ -92,10 +90,11 @@ def scan(documents: DataFrame, id_column: str = "doc_id", text_column: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = find(batch.column(1).to_pylist())
+            found = find(texts_of(batch.column(1)))
             base = [[s for s in spans if RULES[s[1]][0] in BASE] for spans in found]
             counts = [pa.array([sum(s[1] == k for s in spans) for spans in base], pa.int64()) for k in range(3)]
             digests = [hashlib.sha256(_said(spans).encode()).hexdigest() for spans in base]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *counts, pa.array(digests, pa.string()), pa.array(map(_said, found), pa.string())], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+        give_back()
 
     return documents.select(id_column, text_column).mapInArrow(run, SCHEMA)
