@@ -13,8 +13,9 @@ from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of a join is broadcast only if it has been counted and has no more rows than this (of a few dozen bytes each).
-BROADCAST_ROWS = 200_000
+#: A side of a join is broadcast only if it is bounded by nature (benchmark items, sources) and, as it is stored, has no more rows
+#: and compressed bytes than these.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -70,10 +71,15 @@ def discard(*frames: DataFrame) -> None:
         remove(df.sparkSession, df.stored_at)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most `rows` rows; as it is otherwise, for a shuffled join. Counts it, so pass
-    something that is stored."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """df with a broadcast hint if what is stored of it (or of `of`, which it is taken from) has at most BROADCAST_ROWS rows and
+    BROADCAST_BYTES compressed bytes; as it is otherwise, for a shuffled join."""
+    of = of or df
+    where = of.sparkSession._jvm.org.apache.hadoop.fs.Path(of.stored_at)
+    files = where.getFileSystem(of.sparkSession._jsc.hadoopConfiguration())
+    if files.getContentSummary(where).getLength() > BROADCAST_BYTES or of.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        return df
+    return F.broadcast(df)
 
 
 def texts_of(column: pa.Array, rows: int = 128) -> Iterator[str | None]:

@@ -9,7 +9,8 @@ An item is found in a document that holds at least COVERAGE of its windows so, o
 the item they are; with other values than the item's it is a re-parameterised copy.
 
 Null and empty texts have no tokens; items of fewer than WINDOW tokens have one shorter window, compared with windows of that
-length; rows equal in id and text give equal results; several items may be found in one document; extra columns are ignored.
+length; rows equal in id and text give equal results; several items may be found in one document; extra columns are ignored
+(and kept, whatever their names, by ``keep_clean``).
 """
 
 from __future__ import annotations
@@ -55,13 +56,14 @@ def _windows(templated: Column, width: Column) -> Column:
     return F.get(F.transform(F.array(templated), hashed), 0)
 
 
-def _in_run(own: Column, doc: Column, at: Column, place: Column) -> Column:
-    """Whether a window that begins at these places lies in RUN tokens that are equal but for case."""
+def _in_run(own: Column, near: Column, at: Column, lead: Column) -> Column:
+    """Whether a window that begins at these places (of the item, and of the document's tokens near it) lies in RUN tokens that
+    are equal but for case."""
     plain = lambda tokens, start: F.transform(F.slice(tokens, start + 1, RUN), lambda t: F.lower(F.ltrim(t, F.lit(_MARK))))
 
     def equal(back: Column) -> Column:
-        inside = (at >= back) & (place >= back) & (at - back + RUN <= F.size(own))
-        return inside & (plain(own, F.greatest(at - back, F.lit(0))) == plain(doc, F.greatest(place - back, F.lit(0))))
+        inside = (at >= back) & (lead >= back) & (at - back + RUN <= F.size(own))
+        return inside & (plain(own, F.greatest(at - back, F.lit(0))) == plain(near, F.greatest(lead - back, F.lit(0))))
 
     return F.exists(F.sequence(F.lit(0), F.lit(RUN - WINDOW)), equal)
 
@@ -81,20 +83,28 @@ def matches(documents: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     met = None
     for width in widths:
         windows = docs.select("id", "text_hash", F.posexplode(_windows(template(tokens(F.col("text"))), F.lit(width))).alias("place", "hash"))
-        part = windows.join(small(wanted.where(F.col("width") == width).drop("width")), "hash").select("id", "text_hash", "place", "item_id", "at", F.lit(width).alias("width"))
+        part = windows.join(small(wanted.where(F.col("width") == width).drop("width"), wanted), "hash").select("id", "text_hash", "place", "item_id", "at", F.lit(width).alias("width"))
         met = part if met is None else met.union(part)
     if met is None:
         return docs.sparkSession.createDataFrame([], "id bigint, text_hash bigint, item_id bigint, share double, exact boolean")
     met = stored(met.distinct(), "benchmark-matches")
-    held = small(stored(met.select("id", "text_hash").distinct(), "benchmark-documents"))
-    own = docs.join(held, ["id", "text_hash"]).groupBy("id", "text_hash").agg(F.first("text").alias("text")).select("id", "text_hash", tokens(F.col("text")).alias("doc"))
-    pairs = met.join(own, ["id", "text_hash"]).join(small(items.select("item_id", "own", "total")), "item_id")
+    # A document's own matches meet in its row, and of its tokens only those near a match go on with it.
+    hits = met.groupBy("id", "text_hash").agg(F.collect_list(F.struct("item_id", "at", "place", "width")).alias("hits"))
+    own = docs.join(stored(hits, "benchmark-hits"), ["id", "text_hash"]).dropDuplicates(["id", "text_hash"]).select("id", "text_hash", "hits", tokens(F.col("text")).alias("doc"))
+
+    def cut(hit: Column) -> Column:
+        lead = F.least(hit["place"], F.lit(RUN - WINDOW))
+        near = F.slice("doc", hit["place"] - lead + 1, F.lit(2 * RUN - WINDOW))
+        return F.struct(hit["item_id"].alias("item_id"), hit["at"].alias("at"), hit["place"].alias("place"), hit["width"].alias("width"), lead.alias("lead"), near.alias("near"))
+
+    pairs = own.select("id", "text_hash", F.explode(F.transform("hits", cut)).alias("hit")).select("id", "text_hash", "hit.*")
+    pairs = pairs.join(small(items.select("item_id", "own", "total"), items), "item_id")
     slots = F.filter(
-        F.arrays_zip(F.slice("own", F.col("at") + 1, F.col("width")).alias("mine"), F.slice("doc", F.col("place") + 1, F.col("width")).alias("theirs")),
+        F.arrays_zip(F.slice("own", F.col("at") + 1, F.col("width")).alias("mine"), F.slice("near", F.col("lead") + 1, F.col("width")).alias("theirs")),
         lambda s: _placeholder(s["mine"]).startswith("<"),
     )
     line = ["id", "text_hash", "item_id", "shift"]
-    pairs = pairs.select("id", "text_hash", "item_id", (F.col("place") - F.col("at")).alias("shift"), "total", "at", _in_run(F.col("own"), F.col("doc"), F.col("at"), F.col("place")).alias("run"), slots.alias("slots"))
+    pairs = pairs.select("id", "text_hash", "item_id", (F.col("place") - F.col("at")).alias("shift"), "total", "at", _in_run(F.col("own"), F.col("near"), F.col("at"), F.col("lead")).alias("run"), slots.alias("slots"))
     filled = pairs.select(*line, "at", F.explode("slots").alias("slot")).select(*line, "at", "slot.mine", "slot.theirs")
     votes = filled.groupBy(*line, "mine", "theirs").agg(F.count(F.lit(1)).alias("n"))
     chosen = votes.groupBy(*line, "mine").agg(F.max_by("theirs", F.struct("n", F.col("theirs") == F.col("mine"), "theirs")).alias("value"))
@@ -109,12 +119,13 @@ def matches(documents: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each contaminated document: doc_id, n_items, items (sorted ids), best_share, exact (some item as it is)."""
     found = matches(documents, benchmark).groupBy("id", "text_hash").agg(F.count(F.lit(1)).alias("n_items"), F.sort_array(F.collect_set("item_id")).alias("items"), F.max("share").alias("best_share"), F.max("exact").alias("exact"))
-    rows = _keyed(documents).drop("text").join(small(stored(found, "benchmark-found")), ["id", "text_hash"])
+    rows = _keyed(documents).drop("text").join(stored(found, "benchmark-found"), ["id", "text_hash"])
     return rows.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "n_items", "items", "best_share", "exact")
 
 
 def keep_clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents in which no item is found, with their columns."""
-    found = stored(matches(documents, benchmark).select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "benchmark-found")
-    own = documents.withColumns({"_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)), "_hash": F.xxhash64(F.coalesce("text", F.lit("")))})
-    return own.join(small(found), ["_id", "_hash"], "left_anti").select(*documents.columns)
+    """The documents in which no item is found, with their columns, whatever their names."""
+    found = stored(matches(documents, benchmark).select("id", "text_hash").distinct(), "benchmark-found")
+    key = [F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")]
+    own = documents.select(*key, F.struct(*(documents[c] for c in documents.columns)).alias("row"))
+    return own.join(found, ["id", "text_hash"], "left_anti").select(*(F.col("row").getField(c).alias(c) for c in documents.columns))

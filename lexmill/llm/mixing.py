@@ -6,11 +6,11 @@ source's target is the smaller of its cap and its weight times the level, and th
 over the sources in order of cap over weight.  A source whose target is whole times its size plus a rest gives each
 document whole times, and once more those documents that come first in the order of a seeded hash, up to the rest.
 
-The hash order is cut without gathering a source: sums of BUCKETS hash ranges come first, then only rows of one range of
+The hash order is cut without gathering a source: sums of 4,096 hash ranges come first, then only rows of one range of
 one source meet in a task.  One row for each source meets in one task (for ranks and the level).
 
-Null texts have size 0; null sources form a source that ranks last; a null id hashes as empty text; equal rows are taken
-alike; extra columns are ignored (and kept by ``mix``); an empty table gives no rows.
+Null texts have size 0 and are taken whole times only; null sources form a source that ranks last; a null id hashes as empty
+text; the text is hashed too, so rows of one id are told apart; rows equal in id, source and text are taken alike; extra columns are ignored (and kept by ``mix``); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ def _sized(documents: DataFrame) -> list[Column]:
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     return [
         F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("bigint").alias("size"),
-        F.md5(F.concat(F.lit(f"{SEED}:"), key).cast("binary")).alias("_hash"),
+        F.md5(F.concat(F.lit(f"{SEED}:"), key, F.lit(":"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).cast("binary")).alias("_hash"),
         key.alias("_key"),
     ]
 
@@ -59,7 +59,7 @@ def plan(sized: DataFrame) -> DataFrame:
     ranges = rows.groupBy("source", "_range").agg(F.sum("size").alias("_sum"))
     before = F.sum("_sum").over(Window.partitionBy("source").orderBy("_range")) - F.col("_sum")
     ranges = ranges.select(F.col("source").alias("_s"), F.col("_range").alias("_r"), before.alias("_before"))
-    ranges = ranges.join(small(source.select(F.col("source").alias("_t"), "rest")), F.col("_s").eqNullSafe(F.col("_t"))).where(F.col("_before") <= F.col("rest"))
+    ranges = ranges.join(small(source.select(F.col("source").alias("_t"), "rest"), source), F.col("_s").eqNullSafe(F.col("_t"))).where((F.col("rest") > 0) & (F.col("_before") <= F.col("rest")))
     taken = upto.join(ranges, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r"))).where(2.0 * (F.col("_before") + F.col("_upto")) - F.col("size") <= 2.0 * F.col("rest"))
     cut = taken.groupBy(F.col("source").alias("_c")).agg(F.max(F.struct("_hash", "_key", "size")).alias("cut"))
     return source.join(cut, F.col("source").eqNullSafe(F.col("_c")), "left").drop("_c")
@@ -67,8 +67,8 @@ def plan(sized: DataFrame) -> DataFrame:
 
 def _planned(rows: DataFrame, sized: DataFrame) -> DataFrame:
     """rows with _times: how often the mix takes each."""
-    of = stored(plan(sized), "mix-plan").withColumnRenamed("source", "_source")
-    again = F.coalesce(F.struct("_hash", "_key", "size") <= F.col("cut"), F.lit(False)).cast("bigint")
+    of = stored(plan(sized).withColumnRenamed("source", "_source"), "mix-plan")
+    again = (F.coalesce(F.struct("_hash", "_key", "size") <= F.col("cut"), F.lit(False)) & (F.col("size") > 0)).cast("bigint")
     return rows.join(small(of), F.col("source").eqNullSafe(F.col("_source"))).withColumn("_times", F.col("whole") + again)
 
 
@@ -90,7 +90,7 @@ def mix(documents: DataFrame) -> DataFrame:
 ORACLE_SQL = rf"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         coalesce(CAST(doc_id AS VARCHAR), '') AS k, md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+         coalesce(CAST(doc_id AS VARCHAR), '') AS k, md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS h
   FROM documents),
 s AS (SELECT source, sum(size) AS source_size FROM d GROUP BY source),
 w AS (SELECT source, source_size, CAST([3, 1, 2][CAST((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS INTEGER)] AS DOUBLE) AS weight,
@@ -103,6 +103,6 @@ c AS (SELECT d.doc_id, d.size, CAST(r.source_size AS BIGINT) AS source_size, r.t
              sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.k, d.size) AS upto
       FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
 SELECT doc_id, size, source_size, target,
-       CAST(size * (whole + CASE WHEN 2.0 * upto - size <= 2.0 * rest THEN 1 ELSE 0 END) AS BIGINT) AS taken
+       CAST(size * (whole + CASE WHEN rest > 0 AND 2.0 * upto - size <= 2.0 * rest THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM c
 """

@@ -233,7 +233,7 @@ def write(documents: DataFrame, path: str, tokenizer: str | None = None) -> list
         store.move(temporary, f"{root}/shard-{shard:06d}")
         yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([n_docs], pa.int64()), pa.array([n_ids], pa.int64())], names=["shard", "docs", "ids"])
 
-    ordered_docs = docs.repartitionByRange(partitions(documents.sparkSession), "doc_id").sortWithinPartitions("doc_id", "hash").select("doc_id", "ids")
+    ordered_docs = docs.repartitionByRange(partitions(documents.sparkSession), "doc_id", "hash").sortWithinPartitions("doc_id", "hash").select("doc_id", "ids")
     done = ordered_docs.mapInArrow(save, "shard bigint, docs bigint, ids bigint").collect()
     return [(r.docs, r.ids) for r in sorted(done, key=lambda r: r.shard)]
 
