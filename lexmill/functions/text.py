@@ -14,6 +14,8 @@ from pyspark.sql.types import StringType
 #: Tags that stand on lines of their own, and tags whose content is dropped.
 BLOCK_TAGS = frozenset("p div br tr li h1 h2 h3 h4 h5 h6 blockquote pre table thead tbody tfoot td th".split())
 DROPPED_TAGS = frozenset(("script", "style"))
+#: First bytes of documents.
+MAGIC = {b"PK\x03\x04": ".docx", b"\xd0\xcf\x11\xe0": ".doc", b"\xdb\xa5\x2d\x00": ".doc", b"{\\rt": ".rtf"}
 
 
 class _Text(HTMLParser):
@@ -56,7 +58,7 @@ def folded(citation: str | None) -> str | None:
     """A citation without its leading year in brackets, in NFKC, with single spaces, in lower case; null stays null."""
     if citation is None:
         return None
-    citation = re.sub(r"^\s*\[\d{4}\]\s*", "", citation)
+    citation = re.sub(r"^\[\d{4}\]\s*", "", citation)
     return re.sub(r"\s+", " ", unicodedata.normalize("NFKC", citation)).strip().lower()
 
 
@@ -78,8 +80,8 @@ def signature(text: Column) -> Column:
 
 def document_extension(body: Column) -> Column:
     """Extension by the first four bytes; null for others."""
-    head = F.hex(F.substring(body, 1, 4))
-    return F.when(head == "504B0304", ".docx").when(head.isin("D0CF11E0", "DBA52D00"), ".doc").when(head == "7B5C7274", ".rtf")
+    head = F.substring(body, 1, 4)
+    return F.coalesce(*(F.when(head == F.lit(magic), extension) for magic, extension in MAGIC.items()))
 
 
 def alpha_suffix(cap: Column) -> Column:
