@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from lexmill.llm import forest
 from lexmill.llm.common import discard, give_back, stored, texts_of
 from lexmill.llm.shingles import minhash, multipliers, slices, word_shingles
-from lexmill.llm.similarity import verified
+from lexmill.llm.similarity import refined, verified
 
 NGRAM, THRESHOLD, SEED = 5, 0.8, 11
 NO_ID = -(1 << 63)
@@ -81,6 +81,7 @@ def classes(documents: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD)
     texts = documents.select(*_keyed(documents), F.coalesce("text", F.lit("")).alias("text"))
     members = stored(texts.join(chosen, ["id", "text_hash"]).select("component", "item", "weight", "text"), "ngram-members")
     discard(chosen)
+    members = refined(members, sets_of(n))
     links, linked = verified(members, sets_of(n), threshold)
     linked = stored(linked, "ngram-components")
     of = items.select("item", "weight", F.when(F.col("first.id") != NO_ID, F.col("first.id")).alias("least"))

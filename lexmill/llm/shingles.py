@@ -11,7 +11,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-SLICE = 1 << 20
+SLICE = 1 << 18
 #: An odd base of the polynomial byte hash and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(BASE, -1, 1 << 64)
@@ -122,18 +122,43 @@ def minhash(shingles: np.ndarray, at: np.ndarray, functions: np.ndarray) -> np.n
     return out
 
 
-def char_shingles(lines: list[str], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _rolled(x: np.ndarray, k: int) -> np.ndarray:
+    """Sums of x[i + j] * BASE**j over j < k for each i, modulo 2**64, by doubling."""
+    out, offset, block, size, base = None, 0, x, 1, BASE
+    while k:
+        if k & 1:
+            if out is None:
+                out = block
+            else:
+                more = block[offset:] * np.uint64(pow(BASE, offset, 1 << 64))
+                out = out[: len(more)] + more
+            offset += size
+        k >>= 1
+        if k:
+            block = block[:-size] + block[size:] * np.uint64(base)
+            size, base = 2 * size, base * base & 0xFFFFFFFFFFFFFFFF
+    return out
+
+
+def char_shingles(lines: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingle hashes of k code points of each line in turn (a line of 1 to k-1 has one, the whole line; an empty line
-    none), each line's first, and a hash of each whole line."""
-    points = np.frombuffer("\n".join([*lines, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    none), and each line's first."""
+    points = np.frombuffer("\n".join([*lines, ""]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
     n = np.fromiter(map(len, lines), np.int64, len(lines))
     first = np.concatenate(([0], np.cumsum(n + 1)))[:-1]
-    c = prefix_sums(points)
-    whole = substring_hashes(c, first, first + n)
-    count = np.where(n >= k, n - k + 1, np.minimum(n, 1))
-    at = np.concatenate(([0], np.cumsum(count)))
-    start = np.arange(at[-1]) + np.repeat(first - at[:-1], count)
-    return substring_hashes(c, start, start + np.repeat(np.minimum(n, k), count)), at, whole
+    at = np.concatenate(([0], np.cumsum(np.where(n >= k, n - k + 1, np.minimum(n, 1)))))
+    out = np.empty(at[-1], np.uint64)
+    full = np.repeat(n >= k, np.diff(at))
+    if full.any():
+        out[full] = _rolled(points, k)[(np.arange(at[-1]) + np.repeat(first - at[:-1], np.diff(at)))[full]]
+    short = np.flatnonzero((n > 0) & (n < k))
+    if len(short):
+        whole = n[short].astype(np.uint64)
+        for j in range(k - 1):
+            inside = n[short] > j
+            whole[inside] += points[first[short][inside] + j] * np.uint64(pow(BASE, j + 1, 1 << 64))
+        out[at[short]] = whole
+    return mix(out), at
 
 
 def one_permutation(shingles: np.ndarray, at: np.ndarray, bins: int, seed: int) -> np.ndarray:

@@ -1,6 +1,8 @@
 """Items that are alike by exact Jaccard similarity of shingle sets, from candidate links to verified ones.
 
-The connected components of the candidate links hold all candidate pairs.  Components are cut into blocks of about BLOCK items
+The connected components of the candidate links hold all candidate pairs.  Among very many items chance links chain unlike ones into
+large components; so items of components of more than BLOCK items must meet again, in one of REBANDS longer bands of REROWS minima, to
+stay together (a pair at 0.8 does with a probability of 0.999, one at 0.3 with 0.003).  Components are cut into blocks of about BLOCK items
 and BLOCK_CHARS code points by a hash, and each pair of blocks is verified in one task, so no component, however large, has to
 meet in one task, and no pair is ever a row.  What is moved are the items' texts, not their shingles.  Verified pairs come out
 as counts of links for each item and as a spanning forest.
@@ -17,8 +19,10 @@ from pyspark.sql import functions as F
 
 from lexmill.llm.common import discard, give_back, partitions, stored
 from lexmill.llm.components import connected_components
+from lexmill.llm.shingles import mix, one_permutation
 
 BLOCK, BLOCK_CHARS = 256, 1 << 20
+REBANDS, REROWS, RESEED = 40, 8, 23
 #: Cells of the incidence matrix that a task multiplies at once.
 CELLS = 1 << 21
 #: From texts to sorted arrays of distinct shingle hashes.
@@ -143,6 +147,42 @@ def _verify(threshold: float, sets_of: Sets) -> Callable[[Iterator[pa.RecordBatc
     return run
 
 
+def band_keys(minima: np.ndarray, bands: int, salt: np.ndarray | int = 0) -> np.ndarray:
+    """(items, bands) keys: each band's minima and its number, mixed."""
+    shaped = minima.astype(np.uint64).reshape(len(minima), bands, -1)
+    label = (np.arange(bands, dtype=np.uint64) << np.uint64(56)) + np.asarray(salt, np.uint64).reshape(-1, 1)
+    label = np.broadcast_to(label, shaped.shape[:2])
+    for r in range(shaped.shape[2]):
+        label = mix(label * np.uint64(0x100000001B3) + shaped[:, :, r])
+    return label.view(np.int64)
+
+
+def refined(members: DataFrame, sets_of: Sets) -> DataFrame:
+    """members (component, item, weight, text; stored) with large components cut into those of items that meet again; items that
+    meet none go.  Stored anew."""
+    large = stored(members.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select("component"), "large")
+    if large.isEmpty():
+        discard(large)
+        return members
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                sets = sets_of(part.column(2).to_pylist())
+                at = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+                found = band_keys(one_permutation(np.concatenate(sets), at, REBANDS * REROWS, RESEED), REBANDS, mix(part.column(0).to_numpy().view(np.uint64)))
+                yield pa.RecordBatch.from_arrays([pa.array(found.ravel()), pa.array(np.repeat(part.column(1).to_numpy(), REBANDS))], names=["key", "item"])
+        give_back()
+
+    again = members.join(large, "component", "left_semi").select("component", "item", "text")
+    near = stored(candidates(again.mapInArrow(keys, "key bigint, item bigint")), "met-again")
+    cut = members.drop("component").join(near.select(F.col("node").alias("item"), "component"), "item")
+    out = stored(members.join(large, "component", "left_anti").unionByName(cut), "refined")
+    discard(large, near, members)
+    return out
+
+
 def verified(members: DataFrame, sets_of: Sets, threshold: float) -> tuple[DataFrame, DataFrame]:
     """From members (component, item, weight, text; stored) of the candidate components: (item, links, weight_links) and
     (node, component) of the items with links."""
