@@ -47,26 +47,30 @@ def following(rows: DataFrame) -> DataFrame:
     return led.withColumn("next", F.coalesce("next", "after")).select(*rows.columns, F.col("next.id").alias("next_id"), F.col("next.text_hash").alias("next_text_hash"))
 
 
-def _share(bits: Column, at: int, n: int) -> Column:
-    """A uniform draw from n bits of a long."""
-    return (F.shiftrightunsigned(bits, at).bitwiseAND(F.lit((1 << n) - 1)).cast("double") + 0.5) / float(1 << n)
+def _share(bits: str, at: int, n: int) -> str:
+    """A uniform draw from n bits of a long, in SQL."""
+    return f"((CAST(shiftrightunsigned({bits}, {at}) & {(1 << n) - 1}L AS DOUBLE) + 0.5D) / {float(1 << n)}D)"
 
 
-def _scaled(i: int) -> list[Column]:
-    """For sample i: t, and exp(-r (t - b + 1))."""
-    bits = F.xxhash64(F.col("term"), F.lit(-1 - i))
-    r, b = -F.ln(_share(bits, 0, 24) * _share(bits, 24, 24)), _share(bits, 48, 16)
-    t = F.floor(F.col("log_weight") / r + b)
-    return [t.alias(f"t{i}"), F.exp(-r * (t - b + 1.0)).alias(f"e{i}")]
+def _drawn(terms: DataFrame, samples: int) -> DataFrame:
+    """terms (term, weight, draws or null) with s0, s1, ...: the samples' longs, taken from draws or drawn here.
 
+    The least of these longs over a text's terms is sample i: the value c exp(-r (t - b + 1)) above, (term, t) below.  One step
+    makes the hashes, one their logarithms, one the rest, so that nothing is drawn twice.  (In SQL, which is built much faster than
+    as many columns are.)"""
+    columns, all_ = [f"`{c}`" for c in terms.columns], range(samples)
+    rare = "CASE WHEN draws IS NULL THEN"
+    hashed = terms.selectExpr(*columns, *(f"{rare} xxhash64(term, {-1 - i}) END AS x{i}" for i in all_))
+    scaled = hashed.selectExpr(*columns, "ln(CAST(weight AS DOUBLE)) AS log_weight", *(f"x{i}" for i in all_), *(f"{rare} -ln({_share(f'x{i}', 0, 24)} * {_share(f'x{i}', 24, 24)}) END AS r{i}" for i in all_))
 
-def _sample(i: int) -> Column:
-    """The least of these longs over a text's terms is sample i: the value c exp(-r (t - b + 1)) above, (term, t) below."""
-    bits = F.xxhash64(F.col("term"), F.lit(i))
-    c = -F.ln(_share(bits, 0, 32) * _share(bits, 32, 32))
-    value = F.least(c * F.col(f"e{i}"), F.lit(31.0))
-    code = F.col("term").bitwiseXOR(F.shiftleft(F.col(f"t{i}"), 4)).bitwiseAND(F.lit((1 << 24) - 1))
-    return F.shiftleft((value * float(1 << 34)).cast("bigint"), 24).bitwiseOR(code)
+    def sample(i: int) -> str:
+        b, bits = _share(f"x{i}", 48, 16), f"xxhash64(term, {i})"
+        t = f"floor(log_weight / r{i} + {b})"
+        value = f"least(-ln({_share(bits, 0, 32)} * {_share(bits, 32, 32)}) * exp(-r{i} * ({t} - {b} + 1.0D)), 31.0D)"
+        own = f"(shiftleft(CAST({value} * {float(1 << 34)}D AS BIGINT), 24) | ((term ^ shiftleft({t}, 4)) & {(1 << 24) - 1}L))"
+        return f"{rare} {own} ELSE get(draws, {i}) END AS s{i}"
+
+    return scaled.selectExpr(*columns, *map(sample, all_))
 
 
 def _words(texts: DataFrame, keys: list[str]) -> DataFrame:
@@ -90,32 +94,39 @@ def common_draws(texts: DataFrame, samples: int = SAMPLES, head: int = HEAD) ->
         return counts.sparkSession.createDataFrame([], "head_term bigint, head_weight bigint, draws array<bigint>")
     upto = reduce(lambda case, x: case.when(step == x[0], x[1]), list(most.items())[1:], F.when(step == next(iter(most)), next(iter(most.values()))))
     terms = counts.where(step >= min(most)).select("term", F.explode(F.sequence(F.lit(1), upto)).alias("weight"))
-    terms = terms.select("term", F.col("weight").cast("bigint").alias("weight"), F.ln(F.col("weight").cast("double")).alias("log_weight"))
-    scaled = terms.select("term", "weight", *(c for i in range(samples) for c in _scaled(i)))
-    drawn = stored(scaled.select("term", "weight", *(_sample(i).alias(f"s{i}") for i in range(samples))), "term-draws")
+    terms = terms.select("term", F.col("weight").cast("bigint").alias("weight"), F.lit(None).cast("array<bigint>").alias("draws"))
+    drawn = stored(_drawn(terms, samples).drop("draws"), "term-draws")
     return drawn.select(F.col("term").alias("head_term"), F.col("weight").alias("head_weight"), F.array(*(f"s{i}" for i in range(samples))).alias("draws"))
 
 
-def fingerprints(texts: DataFrame, keys: list[str], samples: int = SAMPLES, draws: DataFrame | None = None) -> DataFrame:
-    """keys and fingerprint: the hex digits of each sample in turn.  Keys identify the rows of texts; where texts is dealt
-    out by some of them, nothing is dealt out again.  draws: those of the common terms, if they were made before."""
+def fingerprints(texts: DataFrame, keys: list[str], sides: tuple[str, ...] = ("fingerprint",), samples: int = SAMPLES, draws: DataFrame | None = None) -> DataFrame:
+    """keys and a fingerprint for each side: the hex digits of each sample in turn.  texts has text and, if there are several sides,
+    the number of its own (side, from 0).  Where texts is dealt out by some of the keys, nothing is dealt out again; a term that
+    weighs alike on several sides is drawn once.  draws: those of the common terms, if they were made before."""
     draws = common_draws(texts, samples) if draws is None else draws
-    terms = _words(texts, keys).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("weight"))
-    terms = terms.join(F.broadcast(draws), (F.col("term") == F.col("head_term")) & (F.col("weight") == F.col("head_weight")), "left")
-    terms = terms.select(*keys, "term", "draws", F.ln(F.col("weight").cast("double")).alias("log_weight"))
-    # More than spark.sql.codegen.maxFields columns: Spark then compiles each in a method of its own, short enough for the JVM's
-    # compiler, and not all samples in one.
-    rare = F.col("draws").isNull()
-    terms = terms.select(*keys, "term", "draws", *(F.when(rare, c).alias(f"{'te'[k]}{i}") for i in range(samples) for k, c in enumerate(_scaled(i))))
-    least = terms.groupBy(*keys).agg(*(F.min(F.when(rare, _sample(i)).otherwise(F.get("draws", F.lit(i)))).alias(f"s{i}") for i in range(samples)))
-    digits = [F.lpad(F.lower(F.hex(F.col(f"s{i}").bitwiseAND(F.lit((1 << 4 * DIGITS) - 1)))), DIGITS, "0") for i in range(samples)]
-    return least.select(*keys, F.concat(*digits).alias("fingerprint"))
+    texts = texts if len(sides) > 1 else texts.withColumn("side", F.lit(0))
+    weights = [f"w{k}" for k in range(len(sides))]
+    terms = _words(texts, [*keys, "side"]).groupBy(*keys, "term").agg(*(F.count_if(F.col("side") == k).alias(w) for k, w in enumerate(weights)))
+    if len(sides) > 1:
+        terms = terms.withColumn("weight", F.explode(F.array_distinct(F.filter(F.array(*weights), lambda w: w > 0))))
+    else:
+        terms = terms.withColumn("weight", F.col("w0"))
+    terms = terms.join(F.broadcast(draws), (F.col("term") == F.col("head_term")) & (F.col("weight") == F.col("head_weight")), "left").drop("head_term", "head_weight")
+    found = _drawn(terms, samples)
+    # More columns than spark.sql.codegen.maxFields: each minimum is compiled in a method of its own, short enough for the JVM.
+    each = found.selectExpr(*keys, *(f"CASE WHEN {w} = weight THEN s{i} END AS {w}s{i}" for w in weights for i in range(samples)))
+    least = each.groupBy(*keys).agg(*(F.expr(f"min({w}s{i}) AS {w}s{i}") for w in weights for i in range(samples)))
+
+    def digits(w: str) -> str:
+        return "concat(" + ", ".join(f"lpad(lower(hex({w}s{i} & {(1 << 4 * DIGITS) - 1}L)), {DIGITS}, '0')" for i in range(samples)) + ")"
+
+    return least.selectExpr(*keys, *(f"{digits(w)} AS {side}" for w, side in zip(weights, sides, strict=True)))
 
 
-def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
-    """Share of equal samples of two fingerprints."""
-    same = [(F.substring(a, 1 + DIGITS * i, DIGITS) == F.substring(b, 1 + DIGITS * i, DIGITS)).cast("int") for i in range(samples)]
-    return reduce(lambda x, y: x + y, same).cast("double") / samples
+def likeness(a: str, b: str, samples: int = SAMPLES) -> Column:
+    """Share of equal samples of two fingerprints (columns)."""
+    same = (f"CAST(substring({a}, {1 + DIGITS * i}, {DIGITS}) = substring({b}, {1 + DIGITS * i}, {DIGITS}) AS INT)" for i in range(samples))
+    return F.expr(f"({' + '.join(same)}) / {float(samples)}D")
 
 
 def near_edits(documents: DataFrame) -> DataFrame:
@@ -134,10 +145,9 @@ def near_edits(documents: DataFrame) -> DataFrame:
     edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 3) as int))"), "beginning")
     changed = own.join(given, list(_KEY)).select(*_KEY, "text", edited.alias("edited"))
     # The digest goes along as a key: one pass over the texts makes all.
-    both = changed.select(*_KEY, F.sha2("edited", 256).alias("edited_sha256"), F.posexplode(F.array("text", "edited")).alias("edit", "text"))
-    found = fingerprints(both, [*_KEY, "edited_sha256", "edit"], draws=common_draws(documents.select(F.coalesce("text", F.lit("")).alias("text"))))
-    pick = lambda e: F.max(F.when(F.col("edit") == e, F.col("fingerprint")))
-    prints = stored(found.groupBy(*_KEY, "edited_sha256").agg(pick(0).alias("fingerprint"), pick(1).alias("edited_fingerprint")), "fingerprints")
+    both = changed.select(*_KEY, F.sha2("edited", 256).alias("edited_sha256"), F.posexplode(F.array("text", "edited")).alias("side", "text"))
+    draws = common_draws(documents.select(F.coalesce("text", F.lit("")).alias("text")))
+    prints = stored(fingerprints(both, [*_KEY, "edited_sha256"], ("fingerprint", "edited_fingerprint"), draws=draws), "fingerprints")
     ends = prints.select(F.col("id").alias("next_id"), F.col("text_hash").alias("next_text_hash"), F.col("fingerprint").alias("next_print"))
     out = prints.join(order, list(_KEY)).join(ends, ["next_id", "next_text_hash"])
     return out.select(
@@ -146,7 +156,7 @@ def near_edits(documents: DataFrame) -> DataFrame:
         "edited_sha256",
         "fingerprint",
         "edited_fingerprint",
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        likeness(F.col("fingerprint"), F.col("next_print")).alias("near_next"),
+        likeness("fingerprint", "edited_fingerprint").alias("near_edited"),
+        likeness("fingerprint", "next_print").alias("near_next"),
         F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("_copy"),
     ).drop("_copy")
