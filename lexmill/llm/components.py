@@ -1,7 +1,7 @@
 """Distributed union-find: connected components of an edge table, without gathering edges anywhere.
 
 Each partition first contracts its own edges with a local union-find; large-star and small-star steps then join the
-partitions' trees until nothing changes.  Every step is stored in the shared folder, so a lost executor costs one step.
+partitions' trees until all components are stars.  Every step is stored in the shared folder, so a lost executor costs one step.
 """
 
 from __future__ import annotations
@@ -54,9 +54,10 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out(union)
 
 
-def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    return row[0], row[1]
+def _stars(edges: DataFrame) -> bool:
+    """Whether each node has at most one lower neighbour and none that has one itself: then each component is a star."""
+    own = edges.select(F.col("a").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
+    return own.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1").isEmpty()
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -69,8 +70,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for each node of edges (columns a, b; undirected); component is its least node.  No edges: no rows."""
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b")
     edges = stored(edges.mapInArrow(_contract, _EDGES).where("a != b").distinct(), "components")
-    mark = _mark(edges)
-    while mark[0]:
+    while not _stars(edges):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = _least(both)
         large = both.where("b > a").join(least, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.least("a", "m").alias("b")).where("a != b").distinct()
@@ -80,8 +80,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
         small = large.join(least, F.col("a") == F.col("n")).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*").where("a != b").distinct()
         edges = stored(small, "components")
         discard(large, least)
-        before, mark = mark, _mark(edges)
-        if mark == before:
-            break
     stars = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
