@@ -9,8 +9,8 @@ import time
 from lexmill.session import session
 
 HEADLINE = (
-    "status_by_court", "scope_status_pivot", "upsert_case_merge", "insert_or_ignore_edges", "kind_counts_window", "proxy_hotspots_2sigma",
-    "hourly_trajectory", "event_schema_check", "fresh_predicate", "freshness_report", "presence_check", "enrichment_reconcile", "hub_cases",
+    "status_by_court", "scope_status_pivot", "upsert_case_merge", "insert_or_ignore_edges", "kind_counts_window", "hot_proxies",
+    "hourly_trajectory", "event_faults", "fresh_rule", "freshness_cells", "validator_presence", "validator_enrichment", "hub_cases",
     "cited_by", "shared_partners", "body_dedup",
 )
 

@@ -48,22 +48,26 @@ def noteup_edges(payloads: DataFrame, target: str, body: str) -> DataFrame:
     return entry.where(F.col("e.path").rlike(_CASE_PATH)).select(key.alias("from_key"), "to_key", part[0].alias("citer_lang"), F.col("e.citation_frequency").alias("citer_freq"), "position", F.filter("e.parallel", lambda p: p != "").alias("parallel"))
 
 
-def holds(documents: DataFrame, needles: DataFrame, most: int = 200_000) -> DataFrame:
+def holds(documents: DataFrame, needles: DataFrame, broadcast_chars: int = 4_000_000, short_chars: int = 100_000) -> DataFrame:
     """(doc_id, item_id) of all documents whose text holds a needle's text.
 
     The words within a needle, all but its first and last, stand as whole words wherever it occurs; so texts meet needles by
-    hash on three of those, and only what meets is compared in full.  Needles of under five words have no such three and are
-    compared with every text; they must be few.
+    hash on three of those, and only what meets is compared in full.  Needles are broadcast if they have at most so many
+    characters together, and else dealt out.  Needles of under five words have no such three and are compared with every text;
+    more characters of them than short_chars raise.  Rows equal in id and text count once.
     """
     words = F.split("needle", " ")
     items = needles.select("item_id", F.col("text").alias("needle")).where("needle is not null").withColumn("key", F.when(F.size(words) >= 5, F.concat_ws(" ", F.slice(words, 2, 3))))
     keyed, short = items.where("key is not null"), items.where("key is null")
-    count = items.count()
-    texts = documents.select("doc_id", "text").where("text is not null")
+    sizes = items.agg(F.sum(F.length("needle")), F.sum(F.when(F.col("key").isNull(), F.length("needle")))).first()
+    if (sizes[1] or 0) > short_chars:
+        raise ValueError(f"needles of under five words have {sizes[1]} characters, more than {short_chars}")
+    texts = documents.select("doc_id", "text").where("text is not null").withColumn("at", F.xxhash64("text"))
     token = F.split("text", " ")
     windows = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.concat_ws(" ", F.slice(F.col("w"), i, 3))))
-    met = texts.select("doc_id", token.alias("w")).select("doc_id", F.explode(windows).alias("key")).join(F.broadcast(keyed) if count <= most else keyed, "key")
-    found = met.select("doc_id", "item_id", "needle").distinct().join(texts, "doc_id").where(F.contains("text", "needle")).select("doc_id", "item_id")
-    if not short.isEmpty():
+    met = texts.select("doc_id", "at", token.alias("w")).select("doc_id", "at", F.explode(windows).alias("key")).join(F.broadcast(keyed) if (sizes[0] or 0) <= broadcast_chars else keyed, "key")
+    same = F.col("m.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("m.at") == F.col("t.at"))
+    found = met.select("doc_id", "at", "item_id", "needle").distinct().alias("m").join(texts.alias("t"), same).where(F.contains("text", "needle")).select("t.doc_id", "item_id")
+    if sizes[1]:
         found = found.unionByName(texts.join(F.broadcast(short), F.contains("text", "needle")).select("doc_id", "item_id"))
     return found.distinct()

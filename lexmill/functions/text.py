@@ -45,7 +45,7 @@ def plain_text(html: str | None) -> str | None:
         return None
     parser = _Text()
     parser.feed(html)
-    lines = (line.strip() for line in "".join(parser.parts).split("\n"))
+    lines = (line.strip() for line in "".join(parser.parts).splitlines())
     return "\n".join(line for line in lines if line)
 
 

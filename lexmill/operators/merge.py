@@ -33,13 +33,3 @@ def first_wins(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
 
 def insert_or_ignore(state: DataFrame, delta: DataFrame, keys: Sequence[str]) -> DataFrame:
     return state.unionByName(delta.join(state.select(*keys), list(keys), "left_anti"), allowMissingColumns=True)
-
-
-def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
-    """(node, hop) of all nodes within so many undirected hops of the seeds (column node); edges have from_key and to_key."""
-    both = edges.select(F.col("from_key").alias("node"), F.col("to_key").alias("other")).unionByName(edges.select(F.col("to_key").alias("node"), F.col("from_key").alias("other")))
-    seen = frontier = seeds.select("node").distinct().withColumn("hop", F.lit(0))
-    for hop in range(1, hops + 1):
-        frontier = frontier.join(both, "node").select(F.col("other").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("hop", F.lit(hop))
-        seen = seen.unionByName(frontier)
-    return seen

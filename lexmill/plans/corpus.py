@@ -1,28 +1,9 @@
 """Reconciliation of bodies with state, extraction from pages and versions, and the citation graph."""
 
 PLANS: dict[str, tuple[tuple[str, ...], str]] = {
-    "presence_check": (("bodies",), "SELECT b.doc_id FROM bodies b LEFT JOIN (SELECT doc_id FROM documents WHERE length(text) > 0 AND source <> 'src3') f ON b.doc_id = f.doc_id WHERE b.enrichment = 'downloaded' AND f.doc_id IS NULL"),
-    "orphan_files": (("bodies",), "SELECT d.doc_id FROM documents d LEFT JOIN (SELECT doc_id FROM bodies WHERE enrichment <> 'pending') s ON d.doc_id = s.doc_id WHERE s.doc_id IS NULL"),
-    "enrichment_reconcile": (("bodies",), "SELECT doc_id, enrichment, length(text) > 500 AS has_file FROM bodies WHERE (enrichment = 'downloaded') <> (length(text) > 500)"),
-    "fix_plan": (("bodies",), "SELECT doc_id, CASE WHEN enrichment = 'downloaded' AND length(text) <= 500 THEN 'reset' WHEN enrichment <> 'downloaded' AND length(text) > 500 THEN 'delete' END AS action FROM bodies WHERE (enrichment = 'downloaded') <> (length(text) > 500)"),
-    "translation_targets": (("bodies",), "SELECT b.doc_id FROM bodies b LEFT JOIN labels l ON b.doc_id = l.doc_id AND l.toxic = 0 WHERE b.lang = 'fr' AND l.doc_id IS NULL"),
-    "version_latest": (("versions",), "SELECT doc, vid FROM (SELECT doc, vid, row_number() OVER (PARTITION BY doc ORDER BY vid) AS rn FROM versions) t WHERE rn = 1"),
-    "missing_history": (("versions",), "SELECT v.doc, v.vid FROM versions v JOIN (SELECT doc, max(vid) AS latest FROM versions GROUP BY doc) m ON v.doc = m.doc WHERE v.vid <> m.latest AND v.role = 'user'"),
     "snapshot_diff": (("versions",), "SELECT doc FROM versions WHERE vid = 1 EXCEPT SELECT doc FROM versions WHERE vid = 3"),
-    "appeal_chain": (("versions",), "SELECT doc, vid, row_number() OVER (PARTITION BY doc ORDER BY vid) AS step FROM versions"),
     "body_dedup": (("bodies",), "SELECT h AS sha256, count(*) AS copies, min(doc_id) AS first_id FROM (SELECT doc_id, sha256(text) AS h FROM bodies) t GROUP BY h HAVING count(*) > 1"),
-    "url_parse": (("pages",), "SELECT page_id, regexp_extract(url, '^(https?)://([^/]+)(/.*)?$', 1) AS scheme, regexp_extract(url, '^(https?)://([^/]+)(/.*)?$', 2) AS host, regexp_extract(url, '^(https?)://([^/]+)(/.*)?$', 3) AS path FROM pages"),
-    "docket_court": (("cases",), "SELECT court, number, concat(court, '/', CAST(yr AS STRING), '/', CAST(number AS STRING)) AS case_key, concat(court, '_', CAST(yr AS STRING), '_', CAST(number AS STRING)) AS stem FROM cases"),
-    "stem_parse": (("cases",), "SELECT stem, regexp_extract(stem, '^([a-z]+)([0-9]*)_([0-9]{4})_([0-9]+)$', 3) AS yr, regexp_extract(stem, '^([a-z]+)([0-9]*)_([0-9]{4})_([0-9]+)$', 4) AS num FROM (SELECT concat(court, '_', CAST(yr AS STRING), '_', CAST(number AS STRING)) AS stem FROM cases) t"),
-    "relatedcap_grid": (("expected",), "SELECT e.scope, e.lang, a.abbr FROM expected e CROSS JOIN (SELECT 'ord' AS abbr UNION ALL SELECT 'reg') a LEFT JOIN region r ON r.r_regionkey = e.scope WHERE r.r_regionkey IS NULL"),
-    "resolver_fallback": (("citations",), "SELECT c.from_key, c.to_key, coalesce(p.p_name, s.s_name, 'failed') AS resolved FROM citations c LEFT JOIN part p ON p.p_partkey = c.to_key AND c.position % 2 = 0 LEFT JOIN supplier s ON s.s_suppkey = c.to_key"),
-    "hub_cases": (("citations",), "SELECT to_key, count(*) AS inbound FROM (SELECT DISTINCT from_key, to_key FROM citations) e GROUP BY to_key HAVING count(*) >= 20 ORDER BY inbound DESC, to_key LIMIT 20"),
     "cited_by": (("citations",), "SELECT to_key, count(DISTINCT from_key) AS citers, sum(citer_freq) AS mentions FROM citations GROUP BY to_key"),
     "edge_bidirectional": (("citations",), "SELECT DISTINCT from_key, to_key FROM citations"),
-    "shared_partners": (("citations",), "SELECT a.from_key, a.to_key, count(DISTINCT b.to_key) AS partners FROM citations a JOIN citations b ON a.from_key = b.from_key AND a.to_key <> b.to_key GROUP BY a.from_key, a.to_key"),
-    "child_caps": (("citations",), "SELECT from_key AS parent, min(to_key) AS first_child, count(DISTINCT to_key) AS children FROM citations GROUP BY from_key"),
-    "rerank_score": (("citations",), "SELECT e.vec_id, round(CAST(e.label AS DOUBLE) / 10 + 0.1 * ln(1 + coalesce(h.inbound, 0)), 6) AS score FROM embeddings e LEFT JOIN (SELECT to_key, count(*) AS inbound FROM citations GROUP BY to_key) h ON h.to_key = e.vec_id"),
-    "alias_resolve": (("cases",), "SELECT c.court, c.number, coalesce(k.c_name, 'unknown') AS canonical FROM cases c LEFT JOIN customer k ON k.c_custkey = c.custkey"),
-    "format_union": (("bodies",), "SELECT source, count(DISTINCT lang) AS langs, min(lang) AS first_lang, max(lang) AS last_lang FROM bodies GROUP BY source"),
 }
-EXTRA_TABLES = {"url_parse": ("pages",), "relatedcap_grid": ("region",), "resolver_fallback": ("part", "supplier"), "rerank_score": ("embeddings",), "alias_resolve": ("customer",)}
+EXTRA_TABLES: dict[str, tuple[str, ...]] = {}

@@ -8,11 +8,6 @@ PLANS: dict[str, tuple[tuple[str, ...], str]] = {
     "stale_reason": (("freshness",), f"SELECT reason, count(*) AS n FROM (SELECT CASE WHEN {FRESH} THEN 'fresh' WHEN probe_error IS NOT NULL THEN 'probe error' WHEN live_count IS NULL THEN 'no live count' WHEN local_count IS NULL THEN 'no local count' WHEN live_count <> local_count THEN 'counts differ' WHEN scrape_day IS NULL THEN 'never scraped' WHEN live_day > scrape_day THEN 'live is newer' ELSE 'probed after scrape' END AS reason FROM freshness) t GROUP BY reason"),
     "stale_buckets": (("freshness",), f"SELECT scope, lang FROM freshness WHERE NOT {FRESH}"),
     "first_run_missing": (("expected", "freshness"), "SELECT e.scope, e.lang FROM expected e LEFT JOIN freshness f ON e.scope = f.scope AND e.lang = f.lang WHERE f.scope IS NULL"),
-    "fresh_scope_drop": (("expected", "freshness"), f"SELECT e.scope FROM expected e LEFT JOIN (SELECT scope, lang, {FRESH} AS fresh FROM freshness) f ON e.scope = f.scope AND e.lang = f.lang GROUP BY e.scope HAVING min(CASE WHEN f.fresh THEN 1 ELSE 0 END) = 0"),
-    "freshness_report": (("expected", "freshness"), "SELECT e.scope, max(CASE WHEN e.lang = 'en' THEN cell END) AS en, max(CASE WHEN e.lang = 'tc' THEN cell END) AS tc FROM (SELECT e.scope, e.lang, CASE WHEN f.scope IS NULL THEN '-' ELSE concat(coalesce(CAST(f.local_count AS STRING), '?'), ' / ', coalesce(CAST(f.live_count AS STRING), '?')) END AS cell FROM expected e LEFT JOIN freshness f ON e.scope = f.scope AND e.lang = f.lang) e GROUP BY e.scope"),
-    "freshness_summary": (("freshness",), f"SELECT count(*) AS probed, sum(CASE WHEN {FRESH} THEN 1 ELSE 0 END) AS fresh, sum(CASE WHEN {FRESH} THEN 0 ELSE 1 END) AS stale FROM freshness"),
-    "freshness_three_writer": (("freshness",), "SELECT scope, lang, CASE WHEN scope % 2 = 0 THEN coalesce(CASE WHEN scope % 4 = 0 THEN NULL ELSE scope END, live_count) ELSE live_count END AS live_count, CASE WHEN scope % 2 = 0 THEN NULL ELSE probe_error END AS probe_error, CASE WHEN scope % 3 = 0 THEN scope + 1 ELSE local_count END AS local_count FROM freshness"),
-    "canary_divergence": (("freshness",), "SELECT scope, lang, abs(live_count - local_count) AS gap FROM freshness WHERE abs(live_count - local_count) >= 1 ORDER BY gap DESC, scope, lang LIMIT 3"),
     "coverage_containment": (("expected", "freshness"), "SELECT count(*) AS uncovered FROM (SELECT scope, lang FROM expected EXCEPT SELECT scope, lang FROM freshness) t"),
     "stale_or_missing": (("expected", "freshness"), f"SELECT scope, lang FROM freshness WHERE NOT {FRESH} UNION SELECT e.scope, e.lang FROM expected e LEFT JOIN freshness f ON e.scope = f.scope AND e.lang = f.lang WHERE f.scope IS NULL"),
     "expected_triples": (("expected",), "SELECT scope, lang FROM expected"),

@@ -1,6 +1,5 @@
 """Status counts, queues, state merges and marks of the ledger, as plans over facades: name -> (facades, SQL)."""
 
-_MERGED = "FROM state s FULL OUTER JOIN delta d ON s.court = d.court AND s.number = d.number"
 
 PLANS: dict[str, tuple[tuple[str, ...], str]] = {
     "status_counts": (("cases",), """SELECT count(*) AS total, sum(CASE WHEN status = 'pending' THEN 1 ELSE 0 END) AS pending, sum(CASE WHEN status = 'in_progress' THEN 1 ELSE 0 END) AS in_progress,
@@ -8,28 +7,8 @@ PLANS: dict[str, tuple[tuple[str, ...], str]] = {
     "status_by_court": (("cases",), "SELECT court, status, count(*) AS n FROM cases GROUP BY court, status"),
     "scope_status_pivot": (("cases",), """SELECT court, sum(CASE WHEN status = 'pending' THEN 1 ELSE 0 END) AS pending, sum(CASE WHEN status = 'downloaded' THEN 1 ELSE 0 END) AS downloaded,
         sum(CASE WHEN status = 'failed' THEN 1 ELSE 0 END) AS failed FROM cases GROUP BY court"""),
-    "error_prefix_top5": (("cases",), """SELECT prefix, n FROM (SELECT substr(error, 1, 40) AS prefix, count(*) AS n FROM cases WHERE status = 'failed' GROUP BY substr(error, 1, 40) ORDER BY n DESC, prefix LIMIT 5) t WHERE prefix IS NOT NULL"""),
-    "error_class_counts": (("cases",), "SELECT error_class, count(*) AS n FROM (SELECT substr(trim(regexp_replace(error, '[:;,].*$', '')), 1, 60) AS error_class FROM cases WHERE error IS NOT NULL) t GROUP BY error_class"),
-    "rate_eta": (("cases",), """SELECT run_hours, CASE WHEN run_hours > 0 THEN round(downloaded / run_hours, 6) END AS per_hour, CASE WHEN downloaded > 0 THEN round(open_rows * run_hours / downloaded, 6) END AS eta_hours
-        FROM (SELECT CAST(max(number) - min(number) AS DOUBLE) / 3600 AS run_hours, sum(CASE WHEN status = 'downloaded' THEN 1 ELSE 0 END) AS downloaded, sum(CASE WHEN status IN ('pending', 'in_progress') THEN 1 ELSE 0 END) AS open_rows FROM cases) t"""),
-    "enrichment_unpivot": (("bodies",), "SELECT k.kind, sum(CASE WHEN enrichment = 'pending' THEN 1 ELSE 0 END) AS pending, sum(CASE WHEN enrichment = 'downloaded' THEN 1 ELSE 0 END) AS downloaded, sum(CASE WHEN enrichment = 'na' THEN 1 ELSE 0 END) AS na, sum(CASE WHEN enrichment = 'failed' THEN 1 ELSE 0 END) AS failed FROM bodies CROSS JOIN (SELECT 'summary_en' AS kind UNION ALL SELECT 'summary_zh' UNION ALL SELECT 'appeal_history') k GROUP BY k.kind"),
-    "generated_html_stats": (("bodies",), "SELECT sum(CASE WHEN lang = 'en' THEN 1 ELSE 0 END) AS generated, sum(CASE WHEN lang = 'fr' THEN 1 ELSE 0 END) AS failed, sum(CASE WHEN lang NOT IN ('en', 'fr') THEN 1 ELSE 0 END) AS pending FROM bodies"),
-    "upsert_case_merge": (("state", "delta"), f"SELECT coalesce(s.court, d.court) AS court, coalesce(s.number, d.number) AS number, coalesce(d.title, s.title) AS title, CASE WHEN s.lang = 'en' OR d.lang = 'en' THEN 'en' ELSE coalesce(d.lang, s.lang) END AS lang, coalesce(d.seen, s.seen) AS seen, coalesce(s.status, 'pending') AS status {_MERGED}"),
-    "upsert_downloaded_merge": (("state", "delta"), f"SELECT coalesce(s.court, d.court) AS court, coalesce(s.number, d.number) AS number, coalesce(s.status, 'downloaded') AS status, CASE WHEN d.number IS NULL THEN 'kept' ELSE 'new' END AS formats {_MERGED}"),
-    "upsert_coalesce_merge": (("state", "delta"), f"SELECT coalesce(s.court, d.court) AS court, coalesce(s.number, d.number) AS number, coalesce(d.title, s.title) AS title, coalesce(d.seen, s.seen) AS seen {_MERGED}"),
-    "insert_or_ignore_edges": (("citations",), "SELECT from_key, to_key, citer_lang, citer_freq, position FROM (SELECT *, row_number() OVER (PARTITION BY from_key, to_key, citer_lang ORDER BY position) AS rn FROM citations) t WHERE rn = 1"),
-    "last_wins_batch": (("citations",), "SELECT from_key, to_key, citer_freq, position FROM (SELECT *, row_number() OVER (PARTITION BY from_key, to_key ORDER BY position DESC) AS rn FROM citations) t WHERE rn = 1"),
-    "mark_outcomes": (("state", "delta"), "SELECT s.court, s.number, CASE WHEN d.number IS NULL THEN s.status WHEN d.seen IS NULL THEN 'failed' ELSE 'downloaded' END AS status, CASE WHEN d.number IS NOT NULL AND d.seen IS NULL THEN 'no payload' END AS error FROM state s LEFT JOIN delta d ON s.court = d.court AND s.number = d.number"),
-    "release_reset": (("cases",), "SELECT court, number, CASE WHEN status IN ('in_progress', 'failed') THEN 'pending' ELSE status END AS status, CASE WHEN status = 'failed' THEN NULL ELSE error END AS error FROM cases"),
-    "mark_enrichment": (("bodies",), "SELECT doc_id, CASE WHEN lang = 'de' THEN 'na' WHEN enrichment = 'failed' THEN 'pending' ELSE enrichment END AS enrichment FROM bodies"),
-    "orphan_mark": (("state",), "SELECT court, number, CASE WHEN status = 'downloaded' AND (seen IS NULL OR seen < 3000) THEN 'orphaned' ELSE status END AS status FROM state"),
+    "error_class_counts": (("cases",), "SELECT error_class, count(*) AS n FROM (SELECT substr(trim(regexp_replace(error, '(?s)[:;,].*$', '')), 1, 60) AS error_class FROM cases WHERE error IS NOT NULL) t GROUP BY error_class"),
     "orphan_candidates": (("state",), "SELECT court, number FROM state WHERE status = 'downloaded' AND (seen IS NULL OR seen < 3000)"),
-    "latest_full_run": (("versions",), "SELECT doc, vid FROM versions WHERE role = 'assistant' ORDER BY vid DESC, doc DESC LIMIT 1"),
-    "recheck_queue": (("cases",), "SELECT court, number, dt FROM cases WHERE status = 'downloaded' ORDER BY dt, number LIMIT 50"),
-    "pending_cases": (("cases",), "SELECT court, yr, number FROM cases WHERE status = 'pending' AND court IN ('c1', 'c2', 'c3')"),
-    "pending_any_enrichment": (("bodies",), "SELECT doc_id FROM bodies WHERE enrichment = 'pending' OR enrichment = 'failed'"),
-    "claim_batch": (("cases",), "SELECT court, number, 'in_progress' AS status FROM cases WHERE status = 'pending' ORDER BY court, number LIMIT 100"),
     "last_enumeration": (("state",), "SELECT court, max(seen) AS last_seen, min(seen) AS first_seen FROM state GROUP BY court"),
-    "local_counts": (("cases",), "SELECT court, lang, count(*) AS local_count FROM cases WHERE status = 'downloaded' GROUP BY court, lang"),
     "distinct_keys": (("cases",), "SELECT count(*) AS n FROM (SELECT DISTINCT court, yr, number FROM cases) t"),
 }

@@ -5,20 +5,9 @@ _FAIL = "kind IN ('request_failed', 'challenge_detected')"
 
 PLANS: dict[str, tuple[tuple[str, ...], str]] = {
     "kind_counts_window": (("log",), f"SELECT k.kind, count(w.kind) AS n FROM (SELECT 'request_success' AS kind UNION ALL SELECT 'request_failed' UNION ALL SELECT 'challenge_detected' UNION ALL SELECT 'warmup' UNION ALL SELECT 'pool_exhausted' UNION ALL SELECT 'ip_echo') k LEFT JOIN (SELECT kind FROM log WHERE ts >= {_NOW} - INTERVAL 1 DAY) w ON k.kind = w.kind GROUP BY k.kind"),
-    "proxy_hotspots_2sigma": (("log",), f"SELECT proxy, fails FROM (SELECT proxy, fails, avg(fails) OVER () AS m, stddev_pop(fails) OVER () AS s, count(*) OVER () AS pool FROM (SELECT proxy, sum(CASE WHEN {_FAIL} THEN 1 ELSE 0 END) AS fails FROM log GROUP BY proxy) p) q WHERE pool >= 2 AND s > 0 AND fails > m + 2 * s"),
     "proxy_success_rate": (("log",), "SELECT proxy, sum(CASE WHEN kind = 'request_success' THEN 1 ELSE 0 END) AS ok, count(*) AS total, CAST(floor(100.0 * sum(CASE WHEN kind = 'request_success' THEN 1 ELSE 0 END) / count(*)) AS INT) AS pct FROM log GROUP BY proxy"),
     "hourly_trajectory": (("log",), f"SELECT date_trunc('hour', ts) AS hr, count(*) AS requests, sum(CASE WHEN {_FAIL} THEN 1 ELSE 0 END) AS failures FROM log GROUP BY date_trunc('hour', ts)"),
     "challenges_by_proxy": (("log",), "SELECT coalesce(CAST(proxy AS STRING), 'unknown') AS proxy, count(*) AS n FROM log WHERE kind = 'challenge_detected' GROUP BY coalesce(CAST(proxy AS STRING), 'unknown')"),
     "retry_depth": (("log",), "SELECT props, count(*) AS n FROM log WHERE kind = 'request_failed' GROUP BY props"),
-    "latency_stats": (("log",), "SELECT kind, round(min(elapsed_ms), 4) AS lo, round(max(elapsed_ms), 4) AS hi, round(avg(elapsed_ms), 4) AS mean, round(coalesce(stddev_samp(elapsed_ms), 0), 4) AS sd FROM log GROUP BY kind"),
     "recent_challenges": (("log",), "SELECT event_id, proxy FROM log WHERE kind = 'challenge_detected' ORDER BY ts DESC, event_id DESC LIMIT 5"),
-    "capped_samples": (("log",), "SELECT kind, proxy, event_id FROM (SELECT *, row_number() OVER (PARTITION BY kind, proxy ORDER BY ts, event_id) AS rn FROM log) t WHERE rn <= CASE WHEN kind = 'challenge_detected' THEN 20 ELSE 5 END"),
-    "inter_arrival_cv": (("log",), "SELECT proxy, count(gap) AS gaps, round(stddev_samp(gap) / avg(gap), 4) AS cv FROM (SELECT proxy, CAST(event_id - lag(event_id) OVER (PARTITION BY proxy ORDER BY event_id) AS DOUBLE) AS gap FROM log) t GROUP BY proxy HAVING count(gap) >= 2"),
-    "first_in_window": (("log",), "SELECT proxy, hr, event_id, n FROM (SELECT proxy, date_trunc('hour', ts) AS hr, event_id, row_number() OVER (PARTITION BY proxy, date_trunc('hour', ts) ORDER BY ts, event_id) AS rn, count(*) OVER (PARTITION BY proxy, date_trunc('hour', ts)) AS n FROM log) t WHERE rn = 1 AND n > 1"),
-    "distinct_ratio": (("log",), "SELECT proxy, count(DISTINCT props) AS distinct_props, count(*) AS n FROM log GROUP BY proxy HAVING count(DISTINCT props) * 2 > count(*)"),
-    "event_schema_check": (("log",), "SELECT kind, sum(CASE WHEN ts IS NULL OR proxy IS NULL OR (kind IN ('request_success', 'request_failed') AND elapsed_ms IS NULL) THEN 1 ELSE 0 END) AS bad, count(*) AS n FROM log GROUP BY kind"),
-    "alert_rules": (("log",), """SELECT rule, level FROM (
-        SELECT 'challenge_rate' AS rule, CASE WHEN c * 100 >= n * 10 THEN 'critical' WHEN c * 100 >= n * 2 THEN 'warn' ELSE 'ok' END AS level FROM (SELECT count(*) AS n, sum(CASE WHEN kind = 'challenge_detected' THEN 1 ELSE 0 END) AS c FROM log) a
-        UNION ALL SELECT 'pool', CASE WHEN c >= 10 THEN 'critical' WHEN c > 0 THEN 'warn' ELSE 'ok' END FROM (SELECT count(*) AS c FROM log WHERE kind = 'pool_exhausted') b
-        UNION ALL SELECT 'rate', CASE WHEN c < 4000 THEN 'critical' WHEN c <= 6000 THEN 'warn' ELSE 'ok' END FROM (SELECT count(*) AS c FROM log WHERE kind = 'request_success') d) r"""),
 }
