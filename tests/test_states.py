@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexmill.functions import listings, numbers, scalars, text
 from lexmill.operators import marks, monitor, planning, stats, validator
 from lexmill.plans import states
+from lexmill.session import written
 from lexmill.sources import sinks
 
 FOLDER = "/root/testdata/sf0.001"
@@ -67,15 +68,14 @@ def test_marks_refuse_unknown_states(spark):
 
 
 def test_validator_report_and_fixes(spark):
-    cases, files = states._ledger(spark, FOLDER), states._files(spark, FOLDER)
-    found = validator.validate(cases, files).cache()
+    cases, files = written(states._ledger(spark, FOLDER), "cases"), written(states._files(spark, FOLDER), "files")
+    found = written(validator.validate(cases, files), "found")
     said = validator.render(found, "root", 3, most=2)
     assert "=== presence [fatal]" in said and "more" in said and said.endswith("pages pending: 3")
     levels = {r.level: r.n for r in validator.by_level(found).collect()}
     assert validator.exit_code(levels) == 2 and validator.exit_code({"warn": 1}) == 1 and validator.exit_code({}) == 0 and validator.exit_code(None) == 3
-    fixed = marks.apply_fixes(cases, validator.fixes(found, files, 10**9))
-    left = {r.check for r in validator.validate(fixed, files).select("check").distinct().collect()}
-    assert "presence" not in left and "magic" not in left
+    fixed = written(marks.apply_fixes(cases, written(validator.fixes(found, files, 10**9), "plan")), "fixed")
+    assert fixed.count() == cases.count() and validator.validate(fixed, files, ("presence", "magic")).count() == 0
     assert validator.sampled(cases, 5, 1).collect() == validator.sampled(cases.repartition(3), 5, 1).collect()
     assert validator.validate(cases.limit(0), files.limit(0)).count() == 0
     with pytest.raises(ValueError):
