@@ -1,12 +1,13 @@
-"""The ten training-data operators as registered queries over whole tables, with oracle SQL where SQL can express them."""
+"""The training-data operators as registered queries over whole tables, with oracle SQL where SQL can express them."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lexmill.llm import decontaminate, fingerprints, line_dedup, mixing, ngram_join, pii, rnn_lm, secrets, token_output, toxicity
+from lexmill.llm import decontaminate, fingerprints, hard_negatives, line_dedup, mixing, ngram_join, pii, rnn_lm, secrets, token_output, toxicity
 from lexmill.session import table
 
 
@@ -51,6 +52,11 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rnn_lm.score(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec_id, label = F.col("vec_id"), F.col("label").cast("bigint")
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), anchor=vec_id % 50 == 0, label=F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_decontamination": op2_decontamination,
@@ -62,8 +68,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_mixing": op7_mixing,
     "op9_toxicity": op9_toxicity,
     "op10_token_output": op10_token_output,
+    "op11_hard_negatives": op11_hard_negatives,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_mixing": mixing.ORACLE_SQL,
+    "op11_hard_negatives": hard_negatives.ORACLE_SQL,
 }
