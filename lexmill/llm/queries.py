@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import decontaminate, fingerprints, hard_negatives, line_dedup, mixing, ngram_join, pii, rnn_lm, secrets, token_output, toxicity
+from lexmill.llm import decontaminate, fingerprints, hard_negatives, licenses, line_dedup, mixing, ngram_join, pii, rnn_lm, secrets, token_output, toxicity
 from lexmill.session import table
 
 
@@ -57,6 +57,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"), anchor=vec_id % 50 == 0, label=F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label))
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_decontamination": op2_decontamination,
@@ -69,9 +73,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_token_output": op10_token_output,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_license_scan": op12_license_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_mixing": mixing.ORACLE_SQL,
     "op11_hard_negatives": hard_negatives.ORACLE_SQL,
+    "op12_license_scan": licenses.ORACLE_SQL,
 }
