@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import decontaminate, fingerprints, hard_negatives, licenses, line_dedup, mixing, ngram_join, pii, rnn_lm, secrets, token_output, toxicity
+from lexmill.llm import decontaminate, fingerprints, hard_negatives, licenses, line_dedup, mixing, ngram_join, pii, prefix_trie, rnn_lm, secrets, token_output, toxicity
+from lexmill.llm.common import discard
 from lexmill.session import table
 
 
@@ -61,6 +62,16 @@ def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv_id = F.col("conv_id")
+    turns = prefix_trie.numbered(table(spark, sf_dir, "conversations"))
+    head = F.crc32(conv_id.cast("string").cast("binary")) % 4
+    rebuilt, convs = prefix_trie.spliced(turns, base=conv_id - conv_id % 20, head=head, most=3)
+    out = prefix_trie.trie(rebuilt, convs)
+    discard(turns, convs)
+    return out
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_decontamination": op2_decontamination,
@@ -74,10 +85,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_output": op10_token_output,
     "op11_hard_negatives": op11_hard_negatives,
     "op12_license_scan": op12_license_scan,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_mixing": mixing.ORACLE_SQL,
     "op11_hard_negatives": hard_negatives.ORACLE_SQL,
     "op12_license_scan": licenses.ORACLE_SQL,
+    "op13_prefix_trie": prefix_trie.ORACLE_SQL,
 }
