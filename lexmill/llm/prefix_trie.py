@@ -29,7 +29,7 @@ from lexmill.llm.common import discard, partitions, stored
 RUN, SLAB = 256, 4096
 #: Characters of the ids that one row holds while the ends' digests are made.
 PIECE = 1 << 16
-WORD = r"[^\x20\x09-\x0D]+"
+GAP = r"[\x20\x09-\x0D]+"
 NOTHING = hashlib.sha256(b"").hexdigest()
 
 
@@ -38,7 +38,7 @@ def numbered(conversations: DataFrame, id_column: str = "conv_id") -> DataFrame:
     role, text = (F.coalesce(F.col(c), F.lit("")) for c in ("role", "text"))
     said = F.concat(F.length(role).cast("string"), F.lit(":"), role, text)
     turns = conversations.where(F.col(id_column).isNotNull()).select(
-        F.col(id_column).cast("bigint").alias("conv_id"), "turn", F.unhex(F.sha2(said, 256)).alias("digest"), F.size(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).cast("bigint").alias("words"), F.monotonically_increasing_id().alias("row")
+        F.col(id_column).cast("bigint").alias("conv_id"), "turn", F.unhex(F.sha2(said, 256)).alias("digest"), F.size(F.array_remove(F.split(text, GAP), "")).cast("bigint").alias("words"), F.monotonically_increasing_id().alias("row")
     )
     order = [F.asc_nulls_first("turn"), F.asc("digest"), F.asc("row")]
     dealt = stored(turns.repartitionByRange(partitions(turns.sparkSession), F.asc("conv_id"), *order).withColumn("part", F.spark_partition_id()), "trie-turns")
