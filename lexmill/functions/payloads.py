@@ -15,6 +15,9 @@ CHALLENGE_MARKERS = (
 SIDECARS = (".summary_en.html", ".summary_zh.html", ".appeal_history.json", ".generated.html", ".tc.html", ".tc.txt", ".tc.json")
 JUDGMENTS = ("html", "txt", "json", "doc", "docx", "rtf")
 
+#: The shortest beginning that leaves a sidecar's suffix, or one of at least a character that leaves a judgment's.
+_NAME = "^(.*?)(" + "|".join(x.replace(".", "\\.") for x in SIDECARS) + "|(?<=.)\\.(?:" + "|".join(JUDGMENTS) + "))$"
+
 #: A fixed pattern: the path of a case.
 _CASE_PATH = r"^/(en|tc)/cases/([a-z]+)/([0-9]{4})/([0-9]+)/?"
 _NOTEUP = "array<struct<path:string,citation_frequency:int,parallel:array<string>>>"
@@ -33,10 +36,12 @@ def anchors(pages: DataFrame, html: str = "html") -> DataFrame:
 
 def stem(name: Column) -> Column:
     """A file name without its sidecar suffix or judgment extension; null if it has neither."""
-    out = F.when(name.rlike(r"^.+\.(" + "|".join(JUDGMENTS) + ")$"), F.regexp_extract(name, r"^(.+)\.[a-z]+$", 1))
-    for suffix in reversed(SIDECARS):
-        out = F.when(name.endswith(suffix), F.regexp_replace(name, suffix.replace(".", r"\.") + "$", "")).otherwise(out)
-    return out
+    return F.when(name.rlike(_NAME), F.regexp_extract(name, _NAME, 1))
+
+
+def suffix(name: Column) -> Column:
+    """What follows the stem, with its dot; null if there is no stem."""
+    return F.nullif(F.regexp_extract(name, _NAME, 2), F.lit(""))
 
 
 def noteup_edges(payloads: DataFrame, target: str, body: str) -> DataFrame:
@@ -53,21 +58,21 @@ def holds(documents: DataFrame, needles: DataFrame, broadcast_chars: int = 4_000
 
     The words within a needle, all but its first and last, stand as whole words wherever it occurs; so texts meet needles by
     hash on three of those, and only what meets is compared in full.  Needles are broadcast if they have at most so many
-    characters together, and else dealt out.  Needles of under five words have no such three and are compared with every text;
-    more characters of them than short_chars raise.  Rows equal in id and text count once.
+    characters together, and else dealt out.  Needles of under five words have no such three and are compared with every text,
+    in slices of about short_chars characters.  Rows equal in id and text count once.
     """
     words = F.split("needle", " ")
     items = needles.select("item_id", F.col("text").alias("needle")).where("needle is not null").withColumn("key", F.when(F.size(words) >= 5, F.concat_ws(" ", F.slice(words, 2, 3))))
     keyed, short = items.where("key is not null"), items.where("key is null")
     sizes = items.agg(F.sum(F.length("needle")), F.sum(F.when(F.col("key").isNull(), F.length("needle")))).first()
-    if (sizes[1] or 0) > short_chars:
-        raise ValueError(f"needles of under five words have {sizes[1]} characters, more than {short_chars}")
     texts = documents.select("doc_id", "text").where("text is not null").withColumn("at", F.xxhash64("text"))
     token = F.split("text", " ")
     windows = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.concat_ws(" ", F.slice(F.col("w"), i, 3))))
     met = texts.select("doc_id", "at", token.alias("w")).select("doc_id", "at", F.explode(windows).alias("key")).join(F.broadcast(keyed) if (sizes[0] or 0) <= broadcast_chars else keyed, "key")
     same = F.col("m.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("m.at") == F.col("t.at"))
     found = met.select("doc_id", "at", "item_id", "needle").distinct().alias("m").join(texts.alias("t"), same).where(F.contains("text", "needle")).select("t.doc_id", "item_id")
-    if sizes[1]:
-        found = found.unionByName(texts.join(F.broadcast(short), F.contains("text", "needle")).select("doc_id", "item_id"))
+    slices = -(-(sizes[1] or 0) // short_chars)
+    for n in range(slices):
+        part = short.where(F.pmod(F.xxhash64("needle"), F.lit(slices)) == n)
+        found = found.unionByName(texts.join(F.broadcast(part), F.contains("text", "needle")).select("doc_id", "item_id"))
     return found.distinct()

@@ -83,12 +83,16 @@ def mark_orphaned(cases: DataFrame, cutoff: int) -> DataFrame:
     return cases.withColumn("status", F.when(gone, "orphaned").otherwise(F.col("status")))
 
 
-def verify(cases: DataFrame, files: DataFrame) -> tuple[DataFrame, int]:
-    """Downloaded cases with a format that has no file go back to pending without formats; and how many did."""
+def lacking(cases: DataFrame, files: DataFrame) -> DataFrame:
+    """The keys of downloaded cases with a format that has no file."""
     from lexmill.operators import validator
 
-    missing = validator.presence(cases, files).select(*KEYS).distinct()
-    return _outcome(cases, missing, KEYS, {"status": F.lit("pending"), "formats": F.lit(None).cast("array<string>")}), missing.count()
+    return validator.presence(cases, files).select(*KEYS).distinct()
+
+
+def verify(cases: DataFrame, files: DataFrame) -> DataFrame:
+    """Downloaded cases with a format that has no file (see ``lacking``) go back to pending without formats."""
+    return _outcome(cases, lacking(cases, files), KEYS, {"status": F.lit("pending"), "formats": F.lit(None).cast("array<string>")})
 
 
 def apply_fixes(cases: DataFrame, plan: DataFrame) -> DataFrame:

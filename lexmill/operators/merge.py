@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: rule: how a column of the merged row follows from the old and the new one.
@@ -27,8 +27,12 @@ def upsert(state: DataFrame, delta: DataFrame, keys: Sequence[str], rules: dict[
 
 
 def first_wins(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    ranked = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    return ranked.where("_n = 1").drop("_n")
+    """Of the rows of each key the first by order, all columns deciding between equal ones; nulls come first.  An aggregation: rows are
+    reduced where they are read, before any are moved."""
+    rest = [c for c in rows.columns if c not in keys]
+    by = F.struct(*(x for c in [*order, *(c for c in rest if c not in order)] for x in (F.col(c).isNotNull(), F.col(c))))
+    best = rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), by).alias("_first")) if rest else rows.distinct()
+    return best.select(*(F.col(c) if c in keys else F.col(f"_first.{c}").alias(c) for c in rows.columns))
 
 
 def insert_or_ignore(state: DataFrame, delta: DataFrame, keys: Sequence[str]) -> DataFrame:

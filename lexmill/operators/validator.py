@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from lexmill.functions import payloads, scalars, text
 
 CHECKS = ("presence", "magic", "challenge_html", "stem_coords", "neutral_in_body", "enrichment", "orphans", "html_pending")
+#: Of a digest, those that a sample's threshold is found by.
+DIGITS = 3
 FOUND = ("level", "check", "court", "year", "number", "path", "expected", "observed", "detail")
 #: Extensions of one family, pages that a firewall may have answered for, and sidecars by kind.
 DOC_FAMILY = ("doc", "docx", "rtf")
@@ -25,10 +27,9 @@ ENRICHMENT = {"summary_en": ".summary_en.html", "summary_zh": ".summary_zh.html"
 
 def inventory(files: DataFrame) -> DataFrame:
     """files of courts' folders with slug, folder, name, stem and suffix (what follows the stem)."""
-    parts = F.split("path", "/")
-    rows = files.where(F.size(parts) == 3).select("*", F.get(parts, F.lit(0)).alias("slug"), F.get(parts, F.lit(1)).alias("folder"), F.get(parts, F.lit(2)).alias("name"))
-    rows = rows.where(F.col("slug").rlike("^hk[a-z]+$")).withColumn("stem", payloads.stem(F.col("name")))
-    return rows.withColumn("suffix", F.expr("substring(name, length(stem) + 1)"))
+    slug, folder, name = (F.split_part("path", F.lit("/"), F.lit(i)) for i in (1, 2, 3))
+    rows = files.where(F.col("path").rlike("^hk[a-z]+/[^/]*/[^/]*$")).select("*", slug.alias("slug"), folder.alias("folder"), name.alias("name"))
+    return rows.withColumns({"stem": payloads.stem(F.col("name")), "suffix": payloads.suffix(F.col("name"))})
 
 
 def _keyed(cases: DataFrame) -> DataFrame:
@@ -115,9 +116,22 @@ def validate(cases: DataFrame, files: DataFrame, checks: tuple[str, ...] = CHECK
 
 
 def sampled(rows: DataFrame, n: int, seed: int, keys: tuple[str, ...] = ("court", "year", "number")) -> DataFrame:
-    """n rows in the order of a seeded hash of their keys; 0 means all.  Of those that count, a fixed seed gives a fixed sample."""
+    """The n rows (of a ledger: downloaded ones) with the least seeded digests of their keys, in no order; 0 means all.  A fixed seed
+    gives a fixed sample.
+
+    Digests are counted by their first DIGITS digits.  Rows below the group where the n-th falls are taken as they are read, and only
+    that group, a small share of the table, is put in order."""
     done = rows.where("status = 'downloaded'") if "status" in rows.columns else rows
-    return done if not n else done.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(n)
+    if not n:
+        return done
+    drawn = done.withColumn("_drawn", F.md5(F.concat_ws("/", F.lit(seed), *keys))).withColumn("_group", F.substring("_drawn", 1, DIGITS))
+    before = 0
+    for r in drawn.groupBy("_group").count().orderBy("_group").collect():  # 16 ** DIGITS rows at most
+        if before + r["count"] >= n:
+            edge = drawn.where(F.col("_group") == r["_group"]).orderBy("_drawn", *keys).limit(n - before)
+            return drawn.where(F.col("_group") < r["_group"]).unionByName(edge).drop("_drawn", "_group")
+        before += r["count"]
+    return done
 
 
 def by_level(found: DataFrame) -> DataFrame:

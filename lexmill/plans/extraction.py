@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lexmill.functions import numbers, payloads, text
 from lexmill.operators import graph
 from lexmill.session import table, working_path
+from lexmill.sources import versions
 from lexmill.streaming import ingest, replay
 
 #: Slugs of the two endpoint families and of treaties.
@@ -117,20 +118,19 @@ def stream_kind_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_ingest_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New orders as snapshots, merged by customer into a versioned state: the latest order of each, and how many came."""
-    root = working_path(spark, "ingest")
-    schema, last = "o_custkey bigint, latest bigint, orders bigint", [None]
+    state = working_path(spark, "ingest")
 
-    def merge(batch: DataFrame, version: int) -> None:
+    def merge(old: DataFrame | None, batch: DataFrame) -> DataFrame:
         new = batch.groupBy("o_custkey").agg(F.max("o_orderkey").alias("latest"), F.count(F.lit(1)).alias("orders"))
-        if last[0] is not None:
-            new = new.unionByName(spark.read.schema(schema).parquet(last[0])).groupBy("o_custkey").agg(F.max("latest").alias("latest"), F.sum("orders").alias("orders"))
-        new.write.mode("overwrite").parquet(f"{root}/v={version}")
-        last[0] = f"{root}/v={version}"
+        if old is None:
+            return new
+        return new.unionByName(old).groupBy("o_custkey").agg(F.max("latest").alias("latest"), F.sum("orders").alias("orders"))
 
     orders = table(spark, sf_dir, "orders")
     stream = spark.readStream.schema(orders.schema).parquet(f"{sf_dir}/orders.parque[t]").select("o_custkey", "o_orderkey")
-    stream.writeStream.foreachBatch(merge).option("checkpointLocation", working_path(spark, "ingest-log")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(schema).parquet(last[0]) if last[0] else spark.createDataFrame([], schema)
+    ingest.ingest_into(stream, state, merge, working_path(spark, "ingest-log")).awaitTermination()
+    last = versions.latest(spark, state)
+    return versions.current(spark, state) if last else spark.createDataFrame([], "o_custkey bigint, latest bigint, orders bigint")
 
 
 def circuit_breaker_replay(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lexmill.operators import marks, monitor, planning, queues, stats, validator
 from lexmill.session import views, working_path
-from lexmill.sources import sinks
+from lexmill.sources import sinks, versions
 
 _COURT = "concat('hk', CASE o_custkey % 4 WHEN 0 THEN 'cfi' WHEN 1 THEN 'ca' WHEN 2 THEN 'cfa' ELSE 'dc' END)"
 _YEAR = "CAST(year(o_orderdate) AS INT)"
@@ -153,8 +153,8 @@ def judgment_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.sql("""SELECT 'hkca' AS court, 2001 AS year, doc_id AS number, lang, CASE WHEN doc_id % 2 = 0 THEN array('html') ELSE array('txt', 'html', 'json') END AS formats, concat('<p>', doc_id, '</p> <br>end') AS content,
         coalesce(source, '') AS title, '' AS case_number, '' AS court_name, '' AS date, '' AS neutral, array() AS parallel, CAST(NULL AS STRING) AS doc_url, false AS has_translation FROM documents""")
     path = working_path(spark, "judgments")
-    sinks.publish(sinks.judgment_files(rows, "https://example.org", translation=True), path)
-    out = sinks.current(spark, path)
+    version = versions.publish(sinks.judgment_files(rows, "https://example.org", translation=True), path)
+    out = versions.current(spark, path, version.number)
     return out.select("path", F.when(F.col("path").endswith(".json"), F.get_json_object("content", "$.url")).otherwise(F.col("content")).alias("said"))
 
 
@@ -198,7 +198,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "validator_levels": lambda spark, sf_dir: validator.by_level(_found(spark, sf_dir)),
     "validator_lines": lambda spark, sf_dir: validator.shown(_found(spark, sf_dir)).groupBy("check").agg(F.count(F.lit(1)).alias("lines"), F.max_by("line", "place").alias("last")).where("lines > 20"),
     "validator_fixes": lambda spark, sf_dir: validator.fixes(_found(spark, sf_dir), _files(spark, sf_dir), RUN_START).groupBy("action", "kind").agg(F.count(F.lit(1)).alias("n")),
-    "verify_ledger": lambda spark, sf_dir: marks.verify(_ledger(spark, sf_dir), _files(spark, sf_dir))[0].select(*_KEY, "status", F.array_join("formats", ",").alias("formats")),
+    "verify_ledger": lambda spark, sf_dir: marks.verify(_ledger(spark, sf_dir), _files(spark, sf_dir)).select(*_KEY, "status", F.array_join("formats", ",").alias("formats")),
     "translation_queue": lambda spark, sf_dir: _ledger(spark, sf_dir).where("lang = 'tc' and status = 'downloaded'").withColumn("stem", F.concat_ws("_", *(F.col(c).cast("string") for c in _KEY))).join(validator.inventory(_files(spark, sf_dir)).where("suffix = '.tc.html'").select("stem"), "stem", "left_anti").select("stem"),
     "sidecar_counts": lambda spark, sf_dir: stats.local_counts(_ledger(spark, sf_dir), stats.sidecars(_files(spark, sf_dir), ".json")),
     "marked_downloaded": lambda spark, sf_dir: _flat(marks.mark_downloaded(_ledger(spark, sf_dir), _hit(spark, sf_dir, "number % 7 < 3 and number % 2 = 0", F.array(F.lit("pdf")).alias("formats"), F.when(F.col("number") % 4 == 0, F.lit(9)).alias("html_pending")))).select(*_KEY, "status", "formats", "html_pending", "error"),
@@ -239,7 +239,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "newest_challenges": lambda spark, sf_dir: monitor.recent_challenges(_log(spark, sf_dir)).select("url", "proxy"),
     "log_tail": lambda spark, sf_dir: monitor.recent_warnings(_log(spark, sf_dir).select(F.col("event_id").alias("position"), F.concat(F.lit("d 01:02:03,4 "), F.when(F.col("event_id") % 9 == 0, "ERROR").otherwise("INFO"), F.lit(" m: e"), F.col("event_id").cast("string")).alias("line"))),
     "duplicate_citations": lambda spark, sf_dir: stats.duplicate_citations(_ledger(spark, sf_dir).select(F.concat(F.lit("N"), (F.col("number") % 1000).cast("string")).alias("neutral"))),
-    "seeded_sample": lambda spark, sf_dir: validator.sampled(_ledger(spark, sf_dir), 0, 3).select(*_KEY),
+    "seeded_sample": lambda spark, sf_dir: validator.sampled(_ledger(spark, sf_dir), 100, 3).select(*_KEY),
     **{f.__name__: f for f in (download_outcomes, recheck_outcomes, summary_outcomes, conversion_routes, plan_steps, orphan_guard_runs, coverage_canary, freshness_cells, fresh_scopes, simulated_scrape, judgment_sink, document_sinks, merged_decision_sink, event_faults, header_fingerprints)},
 }
 
@@ -308,7 +308,7 @@ ORACLE_SQL: dict[str, str] = {
     "newest_challenges": "SELECT concat('/u', event_id) AS url, CASE WHEN user_id % 7 = 0 THEN NULL WHEN user_id % 5 = 0 THEN 1 ELSE user_id END AS proxy FROM events WHERE event_type = 'purchase' ORDER BY ts DESC, concat('/u', event_id) LIMIT 5",
     "log_tail": "SELECT event_id AS position, concat('[01:02:03] e', event_id) AS said FROM events WHERE event_id % 9 = 0 ORDER BY event_id DESC LIMIT 5",
     "duplicate_citations": "SELECT concat('N', o_orderkey % 1000) AS neutral, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 1",
-    "seeded_sample": f"{_ROWS} SELECT court, year, number FROM r WHERE k % 7 > 2",
+    "seeded_sample": f"{_ROWS} SELECT court, year, number FROM r WHERE k % 7 > 2 ORDER BY md5(concat_ws('/', 3, court, year, number)), court, year, number LIMIT 100",
     "download_outcomes": "SELECT doc_id, outcome, CASE WHEN outcome = 'downloaded' THEN CASE WHEN doc_id % 3 = 0 THEN CASE WHEN doc_id % 6 > 0 THEN 'html,txt' END WHEN good AND doc_id % 6 > 0 THEN 'doc,html' WHEN good THEN 'doc' ELSE 'html' END END AS saved, outcome = 'downloaded' AND doc_id % 6 = 0 AS html_later FROM (SELECT *, CASE WHEN doc_id % 6 > 0 AND doc_id % 11 = 0 THEN 'challenge' WHEN doc_id % 6 = 0 AND NOT tried THEN 'empty' WHEN tried AND doc_id % 5 = 1 THEN 'doc_invalid_magic' WHEN doc_id % 6 = 0 AND NOT good THEN 'doc_failed' ELSE 'downloaded' END AS outcome FROM (SELECT doc_id, doc_id % 3 > 0 AND doc_id % 4 > 0 AS tried, doc_id % 3 > 0 AND doc_id % 4 > 0 AND doc_id % 5 NOT IN (1, 2) AS good FROM documents) t) u",
     "recheck_outcomes": "SELECT doc_id, CASE WHEN doc_id % 8 = 0 OR (doc_id % 11 = 0 AND doc_id % 6 > 0) THEN 'failed' WHEN doc_id % 6 = 0 THEN 'still_pending' ELSE 'newly_captured' END AS outcome, CASE WHEN doc_id % 8 > 0 AND doc_id % 11 > 0 AND doc_id % 6 > 0 THEN 'doc,html,json,txt' ELSE 'doc,json' END AS formats FROM documents",
     "summary_outcomes": "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'na' WHEN doc_id % 11 = 0 AND doc_id % 6 > 0 THEN 'failed' ELSE 'downloaded' END AS state, CASE WHEN doc_id % 4 > 0 AND doc_id % 11 = 0 AND doc_id % 6 > 0 THEN 'challenge page in a press summary' END AS error FROM documents",

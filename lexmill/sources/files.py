@@ -1,11 +1,12 @@
-"""File inventories, event logs and SQLite ledgers as DataFrames; state published as versions."""
+"""File inventories and event logs as DataFrames."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader
 
+#: How stamps are written.
+STAMP = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 EVENT = "ts timestamp, kind string, court string, year int, num int, proxy_url string, url string, http_status int, elapsed_ms double, error_class string, error_msg string, response_len int, retry_attempt int"
 
 
@@ -22,30 +23,5 @@ def event_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_events(events: DataFrame, path: str) -> None:
-    """One JSON object a line, without null fields."""
-    events.select(F.to_json(F.struct(*events.columns), {"ignoreNullFields": "true"}).alias("value")).write.mode("append").text(path)
-
-
-class _SqliteReader(DataSourceReader):
-    def __init__(self, options: dict) -> None:
-        self.options = options
-
-    def read(self, partition):
-        import sqlite3
-
-        with sqlite3.connect(f"file:{self.options['path']}?mode=ro", uri=True) as db:
-            yield from db.execute(f'SELECT * FROM "{self.options["table"]}"')
-
-
-class SqliteSource(DataSource):
-    """``spark.dataSource.register(SqliteSource)``, then format("sqlite") with a schema and the options path and table."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "sqlite"
-
-    def schema(self) -> str:
-        raise ValueError("a schema must be given")
-
-    def reader(self, schema) -> _SqliteReader:
-        return _SqliteReader(self.options)
+    """One JSON object a line, without null fields, stamps to the microsecond."""
+    events.select(F.to_json(F.struct(*events.columns), {"ignoreNullFields": "true", "timestampFormat": STAMP}).alias("value")).write.mode("append").text(path)

@@ -1,9 +1,7 @@
-"""Sinks: documents and their sidecars as tables and files, published whole or not at all."""
+"""Sinks: documents and their sidecars as tables of files, to be published as versions."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,35 +10,6 @@ from lexmill.functions import scalars, text
 LANGUAGES = ("en", "zh")
 
 
-def _fs(df: DataFrame, path: str):
-    jvm = df.sparkSession._jvm.org.apache.hadoop.fs
-    where = jvm.Path(path)
-    return where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()), jvm
-
-
-def publish(df: DataFrame, path: str, by: list[str] | None = None, format: str = "parquet") -> str:
-    """Writes df beside path and then names it as the current version there, so that readers see the old table or the new one.
-    The folder of the version; ``current`` reads what is named."""
-    version = f"v-{uuid.uuid4().hex}"
-    writer = df.write.format(format)
-    (writer.partitionBy(*by) if by else writer).save(f"{path}/{version}")
-    files, jvm = _fs(df, path)
-    temporary, pointer = jvm.Path(f"{path}/.{version}"), jvm.Path(f"{path}/CURRENT")
-    out = files.create(temporary, True)
-    out.write(bytearray(version.encode()))
-    out.close()
-    files.delete(pointer, False)
-    if not files.rename(temporary, pointer):
-        raise OSError(f"{pointer} can't be written")
-    return f"{path}/{version}"
-
-
-def current(spark, path: str, format: str = "parquet") -> DataFrame:
-    """The table that was published last."""
-    version = spark.read.text(f"{path}/CURRENT").first()[0]
-    return spark.read.format(format).load(f"{path}/{version}")
-
-
 def _when(formats: Column, name: str, content: Column) -> Column:
     return F.when(F.array_contains(formats, name), F.struct(F.lit(name).alias("suffix"), content.alias("content")))
 

@@ -1,14 +1,14 @@
 from pyspark.sql import functions as F
 
 from lexmill.functions import numbers, text
-from lexmill.operators import merge
+from lexmill.operators import graph, merge
 
 
 def test_number_lists_and_ranges(spark):
-    df = spark.createDataFrame([("AAB 1, 2, 5, 6, 8-11, 16 & 17/2024",), ("AAB 5-2021 & AAB 6-2021",), ("none",)], "t string")
+    df = spark.createDataFrame([("AAB 3, 7, 9, 20-22, 31 & 40/2012",), ("AAB 14-2018 & AAB 15-2018",), ("none",)], "t string")
     rows = {(r.t[:5], r.year, r.num) for r in numbers.number_pairs(df, F.col("t")).collect()}
-    assert {n for t, y, n in rows if y == 2024} == {1, 2, 5, 6, 8, 9, 10, 11, 16, 17}
-    assert {n for t, y, n in rows if y == 2021} == {5, 6}
+    assert {n for t, y, n in rows if y == 2012} == {3, 7, 9, 20, 21, 22, 31, 40}
+    assert {n for t, y, n in rows if y == 2018} == {14, 15}
 
 
 def test_text_rules(spark):
@@ -27,7 +27,12 @@ def test_upsert_english_wins_either_way(spark):
         assert out == {1: ("en", 5), 2: ("tc", 7)}
 
 
+def test_first_wins_with_nulls_and_ties(spark):
+    rows = spark.createDataFrame([(1, 2, "b"), (1, None, "z"), (2, 5, "y"), (2, 5, "x"), (None, 1, "n")], "k int, at int, said string")
+    assert {tuple(r) for r in merge.first_wins(rows, ["k"], ["at"]).collect()} == {(1, None, "z"), (2, 5, "x"), (None, 1, "n")}
+
+
 def test_neighbourhood(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "from_key int, to_key int")
     seeds = spark.createDataFrame([(1,)], "node int")
-    assert {(r.node, r.hop) for r in merge.neighbourhood(edges, seeds, 2).collect()} == {(1, 0), (2, 1), (3, 2)}
+    assert {(r.node, r.hop) for r in graph.shortest_paths(edges, seeds, hops=2).collect()} == {(1, 0), (2, 1), (3, 2)}
