@@ -79,6 +79,9 @@ def classes(documents: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD)
     near = stored(forest.candidates(items.where("label is not null").select("item", "label"), threshold), "ngram-candidates").withColumnRenamed("node", "item")
     chosen = stored(near.join(items, "item").select("item", "component", "weight", "first.id", "first.text_hash"), "ngram-chosen")
     texts = documents.select(*_keyed(documents), F.coalesce("text", F.lit("")).alias("text"))
+    # Rows equal in id and text are one item's text, which is moved once for all of them.
+    if not signed.groupBy("id", "text_hash").count().where("count > 1").isEmpty():
+        texts = texts.groupBy("id", "text_hash").agg(F.first("text").alias("text"))
     members = stored(texts.join(chosen, ["id", "text_hash"]).select("component", "item", "weight", "text"), "ngram-members")
     discard(chosen)
     members = refined(members, sets_of(n))
