@@ -33,8 +33,8 @@ from lexmill.llm.common import fold, texts_of
 
 SAMPLE, LONGEST = 2000, 20_000
 WORDS, STEP, LEVEL = 6, 3, 3
-#: Bytes of the ordinary dictionary, and of the toxic one in each round of its training.
-ORDINARY_BYTES, ROUNDS = 1 << 18, (16384, 8192, 4096, 2048)
+#: Bytes of the ordinary dictionary, of the toxic one that all windows of a half train first, and of that of each round after.
+ORDINARY_BYTES, SEED_BYTES, ROUNDS = 1 << 18, 1 << 18, (16384, 8192, 4096, 2048)
 #: Windows of each toxic text that train the next round.
 CHOSEN = 3
 FEATURES = 7
@@ -96,12 +96,12 @@ def features(texts: list[str | None], plain: zstd.ZstdCompressor, both: zstd.Zst
 
 
 def _dictionary(samples: list[bytes], size: int, segment: int) -> bytes:
-    """A trained dictionary; too few samples to train one serve as they are."""
+    """A dictionary trained on all samples; those that are too few to train one serve whole, as they are."""
     samples = [s for s in samples if len(s) >= 8]
     try:
         return zstd.train_dictionary(size, samples, d=8, k=segment).as_bytes()
     except (zstd.ZstdError, ValueError):
-        return b"".join(samples)[-size:]
+        return b"".join(samples)
 
 
 def train(toxic: list[str], ordinary: list[str]) -> Model:
@@ -115,7 +115,7 @@ def train(toxic: list[str], ordinary: list[str]) -> Model:
     plain = compressor(base)
     halves = [[windows(t) for t in toxic[h::2]] for h in (0, 1)]
     without = [[lengths(plain, own) for own in half] for half in halves]
-    learnt = [b"".join(mixed([w for own in half for w in own[:: -(-WORDS // STEP)]]))[:ORDINARY_BYTES] for half in halves]
+    learnt = [_dictionary(mixed([w for own in half for w in own[:: -(-WORDS // STEP)]]), SEED_BYTES, 12) for half in halves]
     best: list[list[bytes]] = [[], []]
     for size in ROUNDS:
         for h in (0, 1):
