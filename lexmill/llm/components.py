@@ -1,7 +1,8 @@
 """Distributed union-find: connected components of an edge table, without gathering edges anywhere.
 
 Each partition first contracts its own edges with a local union-find; large-star and small-star steps then join the
-partitions' trees until all components are stars.  Every step is stored in the shared folder, so a lost executor costs one step.
+partitions' trees until all components are stars.  A remainder of at most REMAINDER edges (8 MB) is contracted by one task at once,
+as steps of many small tasks would take longer.  Every step is stored in the shared folder, so a lost executor costs one step.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from lexmill.llm.common import discard, stored
 
 _EDGES = "a bigint, b bigint"
+#: Edges that one task contracts; their nodes fit in one run of `_contract`.
+REMAINDER = 500_000
 
 
 class Union:
@@ -70,7 +73,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for each node of edges (columns a, b; undirected); component is its least node.  No edges: no rows."""
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b")
     edges = stored(edges.mapInArrow(_contract, _EDGES).where("a != b").distinct(), "components")
-    while not _stars(edges):
+    while True:
+        if edges.count() <= REMAINDER:
+            whole = stored(edges.coalesce(1).mapInArrow(_contract, _EDGES).where("a != b"), "components")
+            discard(edges)
+            edges = whole
+            break
+        if _stars(edges):
+            break
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = _least(both)
         large = both.where("b > a").join(least, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.least("a", "m").alias("b")).where("a != b").distinct()

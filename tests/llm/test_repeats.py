@@ -1,6 +1,6 @@
 """Rows that repeat a text and an id are one item wherever texts are moved."""
 
-from lexmill.llm import ngram_join
+from lexmill.llm import components, ngram_join
 
 
 def test_repeated_rows_are_moved_once(spark, monkeypatch):
@@ -18,3 +18,19 @@ def test_repeated_rows_are_moved_once(spark, monkeypatch):
     assert counts["ngram-members"] == 2
     assert sum(r.doc_id is None and r.class_id == 1 and r.n_links == 3000 for r in found) == 3000
     assert {(r.doc_id, r.class_id, r.n_links) for r in found if r.doc_id is not None} == {(1, 1, 3000), (2, 2, 0)}
+
+
+def test_components_by_steps_and_by_one_task(spark, monkeypatch):
+    import random
+
+    draw = random.Random(3)
+    edges = [(draw.randrange(400), draw.randrange(400)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(60)] + [(2000, 2000 + i) for i in range(1, 50)]
+    union = components.Union()
+    for a, b in edges:
+        union.join(a, b)
+    want = {(n, union.find(n)) for a, b in edges if a != b for n in (a, b)}
+    frame = spark.createDataFrame(edges, "a bigint, b bigint").repartition(7)
+    for most in (0, 500_000):
+        monkeypatch.setattr(components, "REMAINDER", most)
+        assert {tuple(r) for r in components.connected_components(frame).collect()} == want
+    assert components.connected_components(frame.limit(0)).count() == 0
