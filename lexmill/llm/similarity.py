@@ -21,7 +21,7 @@ from lexmill.llm.common import discard, give_back, partitions, stored
 from lexmill.llm.components import connected_components
 from lexmill.llm.shingles import mix, one_permutation
 
-BLOCK, BLOCK_CHARS = 256, 1 << 20
+BLOCK, BLOCK_CHARS = 1024, 1 << 22
 REBANDS, REROWS, RESEED = 40, 8, 23
 #: Cells of the incidence matrix that a task multiplies at once.
 CELLS = 1 << 21
