@@ -82,7 +82,8 @@ def classes(documents: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD)
     # Rows equal in id and text are one item's text, which is moved once for all of them.
     if not signed.groupBy("id", "text_hash").count().where("count > 1").isEmpty():
         texts = texts.groupBy("id", "text_hash").agg(F.first("text").alias("text"))
-    members = stored(texts.join(chosen, ["id", "text_hash"]).select("component", "item", "weight", "text"), "ngram-members")
+    # By shuffle at every size: what is chosen grows with the documents.
+    members = stored(texts.join(chosen.hint("merge"), ["id", "text_hash"]).select("component", "item", "weight", "text"), "ngram-members")
     discard(chosen)
     members = refined(members, sets_of(n))
     links, linked = verified(members, sets_of(n), threshold)
