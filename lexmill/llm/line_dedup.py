@@ -88,7 +88,9 @@ def kept_lines(documents: DataFrame) -> DataFrame:
 
 def _removed(documents: DataFrame) -> DataFrame:
     """id, text_hash, lines that are not blank, and the sorted numbers of those that go."""
-    return kept_lines(documents).distinct().groupBy("id", "text_hash").agg(F.count(F.lit(1)).alias("lines"), F.sort_array(F.collect_list(F.when(~F.col("kept"), F.col("line_no")))).alias("removed"))
+    # Sets of line numbers, as rows equal in id and text have the same lines.
+    gone = F.collect_set(F.when(~F.col("kept"), F.col("line_no")))
+    return kept_lines(documents).groupBy("id", "text_hash").agg(F.size(F.collect_set("line_no")).alias("lines"), F.sort_array(gone).alias("removed"))
 
 
 def _own(documents: DataFrame) -> list:
