@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 RULES = {
     "new": lambda old, new: F.coalesce(new, old),
     "keep": lambda old, new: F.coalesce(old, new),
+    "sum": lambda old, new: F.coalesce(old, F.lit(0)) + F.coalesce(new, F.lit(0)),
     "english_wins": lambda old, new: F.when((old == "en") | (new == "en"), "en").otherwise(F.coalesce(new, old)),
 }
 

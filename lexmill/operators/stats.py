@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Columns that an event of a kind must have; all may have the others.
@@ -55,6 +55,36 @@ def header_fingerprint(headers: Column) -> Column:
     return F.coalesce(F.try_element_at(headers, F.lit("server")), F.try_element_at(headers, F.lit("content-type")), F.lit("?"))
 
 
+def header_changes(old: Column, new: Column) -> Column:
+    """Which headers differ, as array<struct<name, change, old, new>> by name: added, gone or changed.  Names count in lower case; of
+    several that then are one the last in order counts.  A null map has no headers, and a null value is a value."""
+
+    def names(headers: Column) -> Column:
+        return F.array_distinct(F.transform(F.map_keys(headers), F.lower))
+
+    def last(headers: Column, name: Column) -> Column:
+        return F.array_max(F.filter(F.map_entries(headers), lambda e: F.lower(e["key"]) == name))["value"]
+
+    before, after = (F.coalesce(m, F.create_map().cast("map<string,string>")) for m in (old, new))
+    here, there = names(before), names(after)
+
+    def change(name: Column) -> Column:
+        was, is_ = last(before, name), last(after, name)
+        kind = F.when(~F.array_contains(here, name), "added").when(~F.array_contains(there, name), "gone").when(~was.eqNullSafe(is_), "changed")
+        return F.struct(name.alias("name"), kind.alias("change"), was.alias("old"), is_.alias("new"))
+
+    return F.filter(F.transform(F.array_sort(F.array_union(here, there)), change), lambda c: c["change"].isNotNull())
+
+
+def header_drift(answers: DataFrame, by: Sequence[str], order: Sequence[str], headers: str = "headers") -> DataFrame:
+    """answers without headers, with a row for each header in which an answer differs from the one before it (of the same by, in order);
+    the first answers have none before them."""
+    keys = [c for c in answers.columns if c != headers]
+    before = Window.partitionBy(*by).orderBy(*order)
+    pairs = answers.withColumns({"_before": F.lag(headers).over(before), "_at": F.row_number().over(before)}).where("_at > 1")
+    return pairs.select(*keys, F.explode(header_changes(F.col("_before"), F.col(headers))).alias("_c")).select(*keys, "_c.*")
+
+
 def duplicate_citations(listing: DataFrame) -> DataFrame:
     """(neutral, n) of citations that several entries of a listing have."""
     return listing.where("coalesce(neutral, '') != ''").groupBy("neutral").agg(F.count(F.lit(1)).alias("n")).where("n > 1")

@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.plans import corpus, extraction, freshness, ledger, monitoring, payloads, rules, scans, states
+from lexmill.plans import corpus, extraction, freshness, ledger, monitoring, payloads, rules, scans, states, upkeep
 from lexmill.plans.facades import FACADES, with_facades
 from lexmill.session import views
 
@@ -29,6 +29,6 @@ for _plans in (ledger, monitoring, freshness, corpus):
         _more = getattr(_plans, "EXTRA_TABLES", {}).get(_name, ())
         QUERIES[_name] = _query(_text.replace("sha256(text)", "sha2(text, 256)"), tuple(dict.fromkeys((*_tables, *_more))))
         ORACLE_SQL[_name] = _text
-for _module in (extraction, payloads, states, rules, scans):
+for _module in (extraction, payloads, states, rules, scans, upkeep):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
