@@ -56,6 +56,15 @@ def _windows(templated: Column, width: Column) -> Column:
     return F.get(F.transform(F.array(templated), hashed), 0)
 
 
+def _all_windows(templated: Column, widths: list[int]) -> Column:
+    """array<struct<width, place, hash>> of all windows of all these widths; the template is made once."""
+
+    def of_width(t: Column, width: Column) -> Column:
+        return F.transform(_windows(t, width), lambda h, i: F.struct(width.alias("width"), i.alias("place"), h.alias("hash")))
+
+    return F.get(F.transform(F.array(templated), lambda t: F.concat(*(of_width(t, F.lit(w)) for w in widths))), 0)
+
+
 def _in_run(own: Column, near: Column, at: Column, lead: Column) -> Column:
     """Whether a window that begins at these places (of the item, and of the document's tokens near it) lies in RUN tokens that
     are equal but for case."""
@@ -77,27 +86,24 @@ def matches(documents: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     items = benchmark.select("item_id", tokens(F.col("text")).alias("own")).where(F.size("own") > 0).withColumn("width", F.least(F.size("own"), F.lit(WINDOW)))
     items = stored(items.withColumn("total", F.size("own") - F.col("width") + 1), "benchmark-tokens")
     wanted = stored(items.select("item_id", "width", F.posexplode(_windows(template(F.col("own")), F.col("width"))).alias("at", "hash")), "benchmark-windows")
-    # Nearly always one width; each further one is that of an item of fewer tokens.
+    # At most WINDOW widths: those under it are of items of fewer tokens.
     widths = sorted(r.width for r in wanted.select("width").distinct().collect())
     docs = _keyed(documents)
-    met = None
-    for width in widths:
-        windows = docs.select("id", "text_hash", F.posexplode(_windows(template(tokens(F.col("text"))), F.lit(width))).alias("place", "hash"))
-        part = windows.join(small(wanted.where(F.col("width") == width).drop("width"), wanted), "hash").select("id", "text_hash", "place", "item_id", "at", F.lit(width).alias("width"))
-        met = part if met is None else met.union(part)
-    if met is None:
+    if not widths:
         return docs.sparkSession.createDataFrame([], "id bigint, text_hash bigint, item_id bigint, share double, exact boolean")
-    met = stored(met.distinct(), "benchmark-matches")
-    # A document's own matches meet in its row, and of its tokens only those near a match go on with it.
-    hits = met.groupBy("id", "text_hash").agg(F.collect_list(F.struct("item_id", "at", "place", "width")).alias("hits"))
-    own = docs.join(stored(hits, "benchmark-hits"), ["id", "text_hash"]).dropDuplicates(["id", "text_hash"]).select("id", "text_hash", "hits", tokens(F.col("text")).alias("doc"))
-
-    def cut(hit: Column) -> Column:
-        lead = F.least(hit["place"], F.lit(RUN - WINDOW))
-        near = F.slice("doc", hit["place"] - lead + 1, F.lit(2 * RUN - WINDOW))
-        return F.struct(hit["item_id"].alias("item_id"), hit["at"].alias("at"), hit["place"].alias("place"), hit["width"].alias("width"), lead.alias("lead"), near.alias("near"))
-
-    pairs = own.select("id", "text_hash", F.explode(F.transform("hits", cut)).alias("hit")).select("id", "text_hash", "hit.*")
+    windows = docs.select("id", "text_hash", F.inline(_all_windows(template(tokens(F.col("text"))), widths)))
+    met = stored(windows.join(small(wanted), ["hash", "width"]).select("id", "text_hash", "place", "item_id", "at", "width").distinct(), "benchmark-matches")
+    # A text meets its own places, each once however many items share its window, so a row holds no more than the text itself; then
+    # each place goes on alone, with the tokens near it.
+    places = met.groupBy("id", "text_hash").agg(F.collect_set("place").alias("places"))
+    own = docs.join(places, ["id", "text_hash"]).dropDuplicates(["id", "text_hash"]).select("id", "text_hash", "places", tokens(F.col("text")).alias("doc"))
+
+    def cut(place: Column) -> Column:
+        lead = F.least(place, F.lit(RUN - WINDOW))
+        return F.struct(place.alias("place"), lead.alias("lead"), F.slice("doc", place - lead + 1, F.lit(2 * RUN - WINDOW)).alias("near"))
+
+    near = own.select("id", "text_hash", F.inline(F.transform("places", cut)))
+    pairs = met.join(near, ["id", "text_hash", "place"])
     pairs = pairs.join(small(items.select("item_id", "own", "total"), items), "item_id")
     slots = F.filter(
         F.arrays_zip(F.slice("own", F.col("at") + 1, F.col("width")).alias("mine"), F.slice("near", F.col("lead") + 1, F.col("width")).alias("theirs")),

@@ -1,6 +1,6 @@
 """Rows that repeat a text and an id are one item wherever texts are moved."""
 
-from lexmill.llm import components, ngram_join
+from lexmill.llm import components, decontaminate, ngram_join
 
 
 def test_repeated_rows_are_moved_once(spark, monkeypatch):
@@ -34,3 +34,15 @@ def test_components_by_steps_and_by_one_task(spark, monkeypatch):
         monkeypatch.setattr(components, "REMAINDER", most)
         assert {tuple(r) for r in components.connected_components(frame).collect()} == want
     assert components.connected_components(frame.limit(0)).count() == 0
+
+
+def test_a_window_that_many_items_share(spark):
+    """A document in which a stock phrase of 300 items stands 50 times: no row gathers its 15,000 hits, and only what is asked
+    for in full is found; items of five widths are looked for in one pass."""
+    stock = "please choose the one right answer from these options"
+    ends = [" ".join(f"{chr(97 + i % 26)}{chr(97 + j)}{chr(97 + i // 26)}word" for j in range(20)) for i in range(300)]
+    short = [(1000 + n, " ".join(f"{chr(97 + n)}{chr(97 + j)}tiny" for j in range(n))) for n in range(3, 8)]
+    items = spark.createDataFrame([*((i, f"{stock} {end}") for i, end in enumerate(ends)), *short], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, " so ".join([stock] * 50)), (2, f"well {stock} {ends[7]} and more"), (3, " and then ".join(t for _, t in short)), (4, None)], "doc_id bigint, text string")
+    got = {(r.id, r.item_id) for r in decontaminate.matches(docs, items).collect()}
+    assert got == {(2, 7), *((3, i) for i, _ in short)}
