@@ -94,8 +94,8 @@ def matches(documents: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     windows = docs.select("id", "text_hash", F.inline(_all_windows(template(tokens(F.col("text"))), widths)))
     met = stored(windows.join(small(wanted), ["hash", "width"]).select("id", "text_hash", "place", "item_id", "at", "width").distinct(), "benchmark-matches")
     # A text meets its own places, each once however many items share its window, so a row holds no more than the text itself; then
-    # each place goes on alone, with the tokens near it.
-    places = met.groupBy("id", "text_hash").agg(F.collect_set("place").alias("places"))
+    # each place goes on alone, with the tokens near it.  The joins are merges at every size, so their shuffles grow in proportion.
+    places = met.groupBy("id", "text_hash").agg(F.collect_set("place").alias("places")).hint("merge")
     own = docs.join(places, ["id", "text_hash"]).dropDuplicates(["id", "text_hash"]).select("id", "text_hash", "places", tokens(F.col("text")).alias("doc"))
 
     def cut(place: Column) -> Column:
@@ -103,7 +103,7 @@ def matches(documents: DataFrame, benchmark: DataFrame, coverage: float = COVERA
         return F.struct(place.alias("place"), lead.alias("lead"), F.slice("doc", place - lead + 1, F.lit(2 * RUN - WINDOW)).alias("near"))
 
     near = own.select("id", "text_hash", F.inline(F.transform("places", cut)))
-    pairs = met.join(near, ["id", "text_hash", "place"])
+    pairs = stored(met.hint("merge").join(near, ["id", "text_hash", "place"]), "benchmark-near")
     pairs = pairs.join(small(items.select("item_id", "own", "total"), items), "item_id")
     slots = F.filter(
         F.arrays_zip(F.slice("own", F.col("at") + 1, F.col("width")).alias("mine"), F.slice("near", F.col("lead") + 1, F.col("width")).alias("theirs")),
@@ -114,8 +114,8 @@ def matches(documents: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     filled = pairs.select(*line, "at", F.explode("slots").alias("slot")).select(*line, "at", "slot.mine", "slot.theirs")
     votes = filled.groupBy(*line, "mine", "theirs").agg(F.count(F.lit(1)).alias("n"))
     chosen = votes.groupBy(*line, "mine").agg(F.max_by("theirs", F.struct("n", F.col("theirs") == F.col("mine"), "theirs")).alias("value"))
-    agreed = filled.join(chosen, [*line, "mine"]).groupBy(*line, "at").agg(F.min(F.col("theirs") == F.col("value")).alias("consistent"), F.min(F.col("theirs") == F.col("mine")).alias("exact"))
-    windows = pairs.drop("slots").join(agreed, [*line, "at"], "left").withColumns({c: F.coalesce(c, F.lit(True)) for c in ("consistent", "exact")})
+    agreed = filled.join(chosen.hint("merge"), [*line, "mine"]).groupBy(*line, "at").agg(F.min(F.col("theirs") == F.col("value")).alias("consistent"), F.min(F.col("theirs") == F.col("mine")).alias("exact"))
+    windows = pairs.drop("slots").join(agreed.hint("merge"), [*line, "at"], "left").withColumns({c: F.coalesce(c, F.lit(True)) for c in ("consistent", "exact")})
     kept = F.when(F.col("consistent") | F.col("exact") | F.col("run"), F.col("at"))
     found = windows.groupBy(*line).agg(F.collect_set(kept).alias("kept"), F.min("exact").alias("exact"), F.max("run").alias("run"), F.first("total").alias("total")).where(F.size("kept") > 0)
     out = found.groupBy("id", "text_hash", "item_id").agg((F.size(F.array_distinct(F.flatten(F.collect_list("kept")))) / F.first("total")).alias("share"), F.min("exact").alias("exact"), F.max("run").alias("run"))
