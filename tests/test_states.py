@@ -82,6 +82,12 @@ def test_validator_report_and_fixes(spark):
         validator.validate(cases, files, ("smell",))
 
 
+def test_seeded_sample_is_whole(spark):
+    cases = states._ledger(spark, FOLDER)
+    assert states.QUERIES["seeded_sample"](spark, FOLDER).count() == cases.where("status = 'downloaded'").count() > 100
+    assert "LIMIT" not in states.ORACLE_SQL["seeded_sample"]
+
+
 def test_monitor_report(spark):
     level, said = monitor.render(states._ledger(spark, FOLDER), states._log(spark, FOLDER), None, datetime(2024, 1, 20), 1, minutes=60 * 24 * 60)
     assert said.startswith(f"[{level}]") and "(no log)" in said and monitor.exit_code(level) == monitor.LEVELS.index(level)
