@@ -15,6 +15,15 @@ from lexmill.session import written
 from lexmill.sources import buckets, versions
 
 
+#: Edges that one bucket is meant for, and so one task of a merge.
+EDGES = 400_000
+
+
+def parts_for(edges: int) -> int:
+    """Buckets for a cache that is to hold so many edges: a bucket, and with it a task's memory, stays as large as it is."""
+    return max(4, -(-edges // EDGES))
+
+
 def _numbers(spark: SparkSession, path: str) -> tuple[int, int]:
     return tuple(max(versions.numbers(spark, f"{path}/{name}/manifest"), default=0) for name in ("edges", "counts"))
 
@@ -42,7 +51,8 @@ def add(spark: SparkSession, path: str, delta: DataFrame) -> None:
     """Adds a delta of edges: repeated ones and those that are there are ignored; an edge with a null key is none and goes."""
     caught_up(spark, path)
     edges, _ = _numbers(spark, path)
-    once = delta.select("from_key", "to_key").where("from_key IS NOT NULL AND to_key IS NOT NULL").distinct()
+    rows = delta.select("from_key", "to_key").where("from_key IS NOT NULL AND to_key IS NOT NULL")
+    once = buckets.dealt(spark, f"{path}/edges", rows).distinct()
     new = written(buckets.absent(spark, f"{path}/edges", once).withColumn("since", F.lit(edges + 1)), "edge-delta")
     buckets.upsert(spark, f"{path}/edges", new, {}, base=edges)
     _count(spark, path, new, edges)

@@ -57,7 +57,7 @@ def bucketed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hub_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three deltas of edges, of which each third order comes in all: as many inbound as a full count gives."""
     path, edges = working_path(spark, "hubs"), rules._edges(spark, sf_dir).select("from_key", "to_key")
-    hub_cache.create(spark, path, edges, slots=2, parts=4)
+    hub_cache.create(spark, path, edges, slots=2, parts=hub_cache.parts_for(edges.count()))
     for n in range(3):
         hub_cache.add(spark, path, edges.where((F.col("from_key") % 4 == n) | (F.col("from_key") % 3 == 0)))
     return hub_cache.hubs(spark, path)

@@ -105,8 +105,9 @@ def changed(spark: SparkSession, path: str, delta: DataFrame, make: Callable[[Da
     number, folders, layout = _read(spark, path, base)
     columns = [f.name for f in StructType.fromJson(json.loads(layout.schema))]
     # The slots are at most layout.slots numbers.
-    found = delta.groupBy(_slot(layout.keys, layout.slots).alias("slot")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.struct(*layout.keys)).alias("keys")).collect()
-    if any(r.n > r["keys"] for r in found):
+    each = delta.select(*layout.keys).repartition(layout.buckets, *layout.keys).groupBy(*layout.keys).agg(F.count(F.lit(1)).alias("n"))
+    found = each.groupBy(_slot(layout.keys, layout.slots).alias("slot")).agg(F.max("n").alias("n")).collect()
+    if any(r.n > 1 for r in found):
         raise ValueError("delta has a key twice")
     touched = sorted(r.slot for r in found)
     old = _scan(spark, path, number, folders, layout).where(F.col(SLOT).isin(*touched) if touched else F.lit(False)).drop(SLOT)
@@ -121,6 +122,12 @@ def upsert(spark: SparkSession, path: str, delta: DataFrame, rules: dict[str, st
     return changed(spark, path, delta, lambda old, new: merge.upsert(old, new, layout.keys, rules), base)
 
 
+def dealt(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
+    """rows dealt out as the state's are, so that what follows by the keys, and a join with the state, moves neither again."""
+    _, _, layout = _read(spark, path, None)
+    return rows.repartition(layout.buckets, *layout.keys)
+
+
 def absent(spark: SparkSession, path: str, delta: DataFrame) -> DataFrame:
     """The rows of delta whose key the state lacks."""
     _, _, layout = _read(spark, path, None)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import html
 from lexmill.operators import hub_cache, merge, schemas, stats
+from lexmill.plans import upkeep
 from lexmill.session import working_path
 from lexmill.sources import buckets, versions
 
@@ -90,6 +91,15 @@ def test_hub_counts_after_deltas_and_a_crash(spark):
     assert {tuple(r) for r in hub_cache.hubs(spark, path).collect()} == {(c, sum(t == c for _, t in edges)) for c in {t for _, t in edges}}
 
 
+def test_hub_buckets_grow_with_the_edges(spark, monkeypatch):
+    path = working_path(spark, "test-hubs")
+    monkeypatch.setattr(upkeep, "working_path", lambda *_: path)
+    monkeypatch.setattr(hub_cache, "EDGES", 500)
+    upkeep.hub_deltas(spark, "/root/testdata/sf0.001")
+    edges = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    assert buckets._read(spark, f"{path}/edges", None)[2].buckets == -(-edges // 500) > 4
+
+
 def test_anchors_of_odd_pages():
     found = html.page_anchors("<div><a href=x>a <b>b</b>&amp;<br>c</a><a name=n>no</a><A HREF='y'>open<a href=\"z\">")
     assert [(a["href"], a["text"], a["depth"], a["closed"]) for a in found] == [("x", "a b&c", 1, True), (None, "no", 1, True), ("y", "open", 1, False), ("z", "", 2, False)]
