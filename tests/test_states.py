@@ -1,11 +1,12 @@
 """What the oracles can't say: errors that must be raised, texts of reports, and edges of the libraries."""
 
+import re
 from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from lexmill.functions import listings, numbers, scalars, text
+from lexmill.functions import listings, numbers, payloads, scalars, text
 from lexmill.operators import marks, monitor, planning, stats, validator
 from lexmill.plans import states
 from lexmill.session import written
@@ -88,6 +89,21 @@ def test_seeded_sample_is_whole(spark):
     assert "LIMIT" not in states.ORACLE_SQL["seeded_sample"]
 
 
+def test_stems_by_their_ends_as_by_the_pattern(spark):
+    ends = [*payloads.SIDECARS, *(f".{x}" for x in payloads.JUDGMENTS), ".pdf", ""]
+    names = [a + m + b + z for a in ("", "x", "a\nb", "é.") for m in ("", ".tc") for b in ends for z in ("", "\n", "\u0085", " ")] + [None]
+    rows = spark.createDataFrame([(n,) for n in names], "n string").select("*", payloads.stem(F.col("n")).alias("stem"), payloads.suffix(F.col("n")).alias("suffix"))
+    for r in rows.collect():
+        found = r.n is not None and re.search(payloads._NAME, r.n.replace("\u0085", "\n").removesuffix("\n"))
+        assert (r.stem, r.suffix) == ((found[1], found[2]) if found else (None, None))
+
+
+def test_files_are_named_once(spark):
+    # The names' expressions were copied into each other: 572,691 characters.
+    check = validator.stem_coords(states._ledger(spark, FOLDER), states._files(spark, FOLDER))
+    assert len(check._jdf.queryExecution().optimizedPlan().toString()) < 100_000
+
+
 def test_monitor_report(spark):
     level, said = monitor.render(states._ledger(spark, FOLDER), states._log(spark, FOLDER), None, datetime(2024, 1, 20), 1, minutes=60 * 24 * 60)
     assert said.startswith(f"[{level}]") and "(no log)" in said and monitor.exit_code(level) == monitor.LEVELS.index(level)
