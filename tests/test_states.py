@@ -104,6 +104,14 @@ def test_files_are_named_once(spark):
     assert len(check._jdf.queryExecution().optimizedPlan().toString()) < 100_000
 
 
+def test_findings_are_made_once(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(states, "written", lambda df, name: made.append(name) or written(df, name))
+    for name in ("validator_lines",):
+        states.QUERIES[name](spark, FOLDER)
+    assert made == ["found"]
+
+
 def test_monitor_report(spark):
     level, said = monitor.render(states._ledger(spark, FOLDER), states._log(spark, FOLDER), None, datetime(2024, 1, 20), 1, minutes=60 * 24 * 60)
     assert said.startswith(f"[{level}]") and "(no log)" in said and monitor.exit_code(level) == monitor.LEVELS.index(level)
