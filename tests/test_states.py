@@ -107,9 +107,9 @@ def test_files_are_named_once(spark):
 def test_findings_are_made_once(spark, monkeypatch):
     made = []
     monkeypatch.setattr(states, "written", lambda df, name: made.append(name) or written(df, name))
-    for name in ("validator_lines",):
+    for name in ("validator_lines", "validator_fixes"):
         states.QUERIES[name](spark, FOLDER)
-    assert made == ["found"]
+    assert made == ["found", "found"]
 
 
 def test_monitor_report(spark):
