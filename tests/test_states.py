@@ -104,6 +104,15 @@ def test_files_are_named_once(spark):
     assert len(check._jdf.queryExecution().optimizedPlan().toString()) < 100_000
 
 
+def test_orphans_are_dealt_out_by_rows(spark, monkeypatch):
+    cases = spark.createDataFrame([("hkca", 2000, n) for n in range(50)] + [("hk/x", 2000, 1)], "court string, year int, number bigint")
+    files = spark.createDataFrame([(f"hkca/2000/{n}",) for n in ("hkca_2000_1.html", "hkca_2000_99.html", *(f"odd{i}" for i in range(50)))] + [(None,), ("hkca/2000/a/b.html",)], "path string")
+    monkeypatch.setattr(validator, "DEALT", 10)
+    found = validator.orphans(cases, files)
+    assert {r.path for r in found.collect()} == {"hkca/2000/hkca_2000_99.html", *(f"hkca/2000/odd{i}" for i in range(50))}
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_findings_are_made_once(spark, monkeypatch):
     made = []
     monkeypatch.setattr(states, "written", lambda df, name: made.append(name) or written(df, name))
