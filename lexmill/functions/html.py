@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,9 +68,10 @@ def anchors(html: Column, like: str | None = None) -> Column:
     empty pages have none."""
     pattern = like and re.compile(like)
 
-    @F.pandas_udf(_ANCHORS)
-    def of(pages: pd.Series) -> pd.Series:
-        return pages.map(lambda page: page_anchors(page, pattern))
+    # Row by row: Python is sent 100 rows at a time, where an Arrow batch holds up to 10,000 pages and all their anchors.
+    @F.udf(_ANCHORS, useArrow=False)
+    def of(page: str | None) -> list[dict]:
+        return page_anchors(page, pattern)
 
     return of(html)
 

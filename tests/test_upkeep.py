@@ -115,6 +115,11 @@ def test_anchors_as_rows(spark):
     assert [tuple(r) for r in html.database_matrix(pages).collect()] == [("other", "a_1", ["en", "tc"])]
 
 
+def test_pages_go_to_python_row_by_row(spark):
+    plan = _plan(html.with_anchors(spark.createDataFrame([(1, "<a href=x>t</a>")], "page int, html string")))
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+
+
 def test_schema_faults(spark):
     schema = {
         "type": "object", "required": ["a"], "additionalProperties": {"type": "number", "maximum": 9},
