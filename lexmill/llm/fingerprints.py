@@ -6,8 +6,14 @@ uniform draw b come from a hash of term and sample; a term of weight w gets t =
 c exp(-r (t - b + 1)), and the sample is the (term, t) of the least value.  Two texts agree in a sample with a probability
 equal to their generalised Jaccard similarity, so the share of equal samples estimates it.
 
+The value of a term of weight w is exponential with rate w, so the least value of a text of n words exceeds CLOSE / n with a
+probability below exp(-CLOSE).  Only values below such a limit are looked at: of most draws a bound without logarithms tells that
+they are above it.  A text that has no value below its limit in some sample is drawn again without a limit, so the samples are
+always those of all terms.
+
 What a (term, weight) draws is the same in every text.  So the samples of the commonest terms at low weights are drawn once, into
-a table of at most 2 * HEAD rows that is broadcast; all others are drawn where they occur, by the same expressions.
+a table of at most 2 * HEAD rows that is broadcast, each in order with the number of its values below each limit; all others are
+drawn where they occur, by the same expressions.
 
 Order for "the next document": descending doc_id, null ids last, equal ids by a hash of the text; after the last comes the
 first.  Rows equal in id and text share one place and one result, returned once for each.  Null texts count as empty; extra
@@ -16,6 +22,7 @@ columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,9 +35,12 @@ SAMPLES = 64
 HEAD = 1 << 15
 #: Hex digits of a sample in the fingerprint.
 DIGITS = 4
+#: Expected number of values below a text's limit, at least; and the limits' number, each half of the one before, the first of which
+#: is above every value.
+CLOSE, LEVELS = 16, 25
 #: Stands for a null id, so that keys are never null.
 NO_ID = -(1 << 63)
-_KEY = ("id", "text_hash")
+_KEY, _DIGEST = ("id", "text_hash"), ("digest0", "digest1", "digest2", "digest3")
 
 
 def following(rows: DataFrame) -> DataFrame:
@@ -52,34 +62,41 @@ def _share(bits: str, at: int, n: int) -> str:
     return f"((CAST(shiftrightunsigned({bits}, {at}) & {(1 << n) - 1}L AS DOUBLE) + 0.5D) / {float(1 << n)}D)"
 
 
-def _drawn(terms: DataFrame, samples: int) -> DataFrame:
-    """terms (term, weight, draws or null) with s0, s1, ...: the samples' longs, taken from draws or drawn here.
+def _hashed(terms: DataFrame, samples: int, unless: str = "false") -> DataFrame:
+    """terms with the hashes x0, y0, x1, ... that samples are drawn from, null where `unless` holds: made once, used several times.
+    (In SQL, which is built much faster than as many columns are.)"""
+    return terms.selectExpr("*", "ln(CAST(weight AS DOUBLE)) AS log_weight", *(f"CASE WHEN NOT ({unless}) THEN xxhash64(term, {seed}) END AS {name}{i}" for i in range(samples) for name, seed in (("x", -1 - i), ("y", i))))
+
+
+def _sample(i: int) -> str:
+    """Sample i of a term and weight as a long, in SQL: the value c exp(-r (t - b + 1)) above, then i, (term, t) below."""
+    b, rate, c = _share(f"x{i}", 48, 16), f"(-ln({_share(f'x{i}', 0, 24)} * {_share(f'x{i}', 24, 24)}))", f"-ln({_share(f'y{i}', 0, 32)} * {_share(f'y{i}', 32, 32)})"
+    t = f"floor(log_weight / {rate} + {b})"
+
+    def long(exponent: str, term: str) -> str:
+        return f"(shiftleft(CAST(least({c} * exp({exponent}), 31.0D) * {float(1 << 34)}D AS BIGINT), 24) | {i << 16}L | ({term} & {(1 << 4 * DIGITS) - 1}L))"
 
-    The least of these longs over a text's terms is sample i: the value c exp(-r (t - b + 1)) above, (term, t) below.  One step
-    makes the hashes, one their logarithms, one the rest, so that nothing is drawn twice.  (In SQL, which is built much faster than
-    as many columns are.)"""
-    columns, all_ = [f"`{c}`" for c in terms.columns], range(samples)
-    rare = "CASE WHEN draws IS NULL THEN"
-    hashed = terms.selectExpr(*columns, *(f"{rare} xxhash64(term, {-1 - i}) END AS x{i}" for i in all_))
-    scaled = hashed.selectExpr(*columns, "ln(CAST(weight AS DOUBLE)) AS log_weight", *(f"x{i}" for i in all_), *(f"{rare} -ln({_share(f'x{i}', 0, 24)} * {_share(f'x{i}', 24, 24)}) END AS r{i}" for i in all_))
+    # b is below 1, so t is 0 at weight 1.
+    return f"CASE WHEN weight = 1L THEN {long(f'-{rate} * (0.0D - {b} + 1.0D)', 'term')} ELSE {long(f'-{rate} * ({t} - {b} + 1.0D)', f'(term ^ shiftleft({t}, 4))')} END"
 
-    def sample(i: int) -> str:
-        b, bits = _share(f"x{i}", 48, 16), f"xxhash64(term, {i})"
-        t = f"floor(log_weight / r{i} + {b})"
-        value = f"least(-ln({_share(bits, 0, 32)} * {_share(bits, 32, 32)}) * exp(-r{i} * ({t} - {b} + 1.0D)), 31.0D)"
-        own = f"(shiftleft(CAST({value} * {float(1 << 34)}D AS BIGINT), 24) | ((term ^ shiftleft({t}, 4)) & {(1 << 24) - 1}L))"
-        return f"{rare} {own} ELSE get(draws, {i}) END AS s{i}"
 
-    return scaled.selectExpr(*columns, *map(sample, all_))
+def _near(i: int) -> str:
+    """Whether sample i may be below the limit `reach` / weight, in SQL: c is at least 1 - exp(-c), the rest at least exp(-r) / weight."""
+    return f"(1.0D - {_share(f'y{i}', 0, 32)} * {_share(f'y{i}', 32, 32)}) * ({_share(f'x{i}', 0, 24)} * {_share(f'x{i}', 24, 24)}) < reach"
 
 
 def _words(texts: DataFrame, keys: list[str]) -> DataFrame:
-    words = texts.select(*keys, F.explode(F.split(F.btrim(F.lower("text"), F.lit(" \t\n\x0b\x0c\r")), "[\\x20\\x09-\\x0D]+")).alias("word"))
-    return words.select(*keys, F.xxhash64("word").alias("term"))
+    """keys, term and the level of the text's limit (0: none; values are below 2 ** (5 - level)) for each word."""
+    split = texts.select(*keys, F.split(F.btrim(F.lower(F.coalesce("text", F.lit(""))), F.lit(" \t\n\x0b\x0c\r")), "[\\x20\\x09-\\x0D]+").alias("words"))
+    level = F.least(F.floor(F.log2(F.size("words") / F.lit(float(CLOSE)))) + 5, F.lit(LEVELS - 1))
+    # The level before the words are taken apart, or each word's row would hold all words.
+    words = split.select(*keys, F.greatest(level, F.lit(0)).cast("int").alias("level"), "words").select(*keys, "level", F.explode_outer("words").alias("word"))
+    return words.select(*keys, "level", F.xxhash64("word").alias("term"))
 
 
 def common_draws(texts: DataFrame, samples: int = SAMPLES, head: int = HEAD) -> DataFrame:
-    """(head_term, head_weight, draws): all samples of the commonest terms at low weights, to be broadcast.
+    """(head_term, head_weight, draws, cuts): all samples of the commonest terms at low weights in order, and how many are below the
+    limit of each level, to be broadcast.
 
     Terms are taken by steps of their counts, so that no task or driver sorts them; a step that would exceed `head` ends it."""
     counts = stored(_words(texts, []).groupBy("term").agg(F.count(F.lit(1)).alias("n")), "term-counts")
@@ -91,36 +108,55 @@ def common_draws(texts: DataFrame, samples: int = SAMPLES, head: int = HEAD) ->
             break
         most[r.step] = int((head / rank) ** 0.5)
     if not most:
-        return counts.sparkSession.createDataFrame([], "head_term bigint, head_weight bigint, draws array<bigint>")
+        return counts.sparkSession.createDataFrame([], "head_term bigint, head_weight bigint, draws array<bigint>, cuts array<tinyint>")
     upto = reduce(lambda case, x: case.when(step == x[0], x[1]), list(most.items())[1:], F.when(step == next(iter(most)), next(iter(most.values()))))
     terms = counts.where(step >= min(most)).select("term", F.explode(F.sequence(F.lit(1), upto)).alias("weight"))
-    terms = terms.select("term", F.col("weight").cast("bigint").alias("weight"), F.lit(None).cast("array<bigint>").alias("draws"))
-    drawn = stored(_drawn(terms, samples).drop("draws"), "term-draws")
-    return drawn.select(F.col("term").alias("head_term"), F.col("weight").alias("head_weight"), F.array(*(f"s{i}" for i in range(samples))).alias("draws"))
+    terms = terms.select("term", F.col("weight").cast("bigint").alias("weight"))
+    drawn = _hashed(terms, samples).selectExpr("term AS head_term", "weight AS head_weight", f"sort_array(array({', '.join(map(_sample, range(samples)))})) AS draws")
+    drawn = stored(drawn, "term-draws")
+    cuts = ", ".join(f"CAST(size(filter(draws, s -> shiftrightunsigned(s, {63 - level}) = 0L)) AS TINYINT)" for level in range(LEVELS))
+    return stored(drawn.selectExpr("*", f"array({cuts}) AS cuts"), "term-cuts")
 
 
-def fingerprints(texts: DataFrame, keys: list[str], sides: tuple[str, ...] = ("fingerprint",), samples: int = SAMPLES, draws: DataFrame | None = None) -> DataFrame:
-    """keys and a fingerprint for each side: the hex digits of each sample in turn.  texts has text and, if there are several sides,
-    the number of its own (side, from 0).  Where texts is dealt out by some of the keys, nothing is dealt out again; a term that
-    weighs alike on several sides is drawn once.  draws: those of the common terms, if they were made before."""
-    draws = common_draws(texts, samples) if draws is None else draws
-    texts = texts if len(sides) > 1 else texts.withColumn("side", F.lit(0))
+def _prints(texts: DataFrame, keys: list[str], sides: tuple[str, ...], samples: int, draws: DataFrame, limits: bool) -> DataFrame:
+    """keys and a fingerprint for each side, null where a sample has no value below the text's limit."""
     weights = [f"w{k}" for k in range(len(sides))]
-    terms = _words(texts, [*keys, "side"]).groupBy(*keys, "term").agg(*(F.count_if(F.col("side") == k).alias(w) for k, w in enumerate(weights)))
+    terms = _words(texts, [*keys, "side"]).groupBy(*keys, "term").agg(*(F.count_if(F.col("side") == k).alias(w) for k, w in enumerate(weights)), F.min("level" if limits else F.lit(0)).alias("level"))
     if len(sides) > 1:
-        terms = terms.withColumn("weight", F.explode(F.array_distinct(F.filter(F.array(*weights), lambda w: w > 0))))
+        new = (f"CASE WHEN {w} > 0 {''.join(f'AND {w} != {v} ' for v in weights[:k])}THEN {w} ELSE 0L END" for k, w in enumerate(weights))
+        terms = terms.selectExpr("*", f"explode_outer(array_remove(array({', '.join(new)}), 0L)) AS weight")
     else:
         terms = terms.withColumn("weight", F.col("w0"))
-    terms = terms.join(F.broadcast(draws), (F.col("term") == F.col("head_term")) & (F.col("weight") == F.col("head_weight")), "left").drop("head_term", "head_weight")
-    found = _drawn(terms, samples)
-    # More columns than spark.sql.codegen.maxFields: each minimum is compiled in a method of its own, short enough for the JVM.
-    each = found.selectExpr(*keys, *(f"CASE WHEN {w} = weight THEN s{i} END AS {w}s{i}" for w in weights for i in range(samples)))
-    least = each.groupBy(*keys).agg(*(F.expr(f"min({w}s{i}) AS {w}s{i}") for w in weights for i in range(samples)))
-
-    def digits(w: str) -> str:
-        return "concat(" + ", ".join(f"lpad(lower(hex({w}s{i} & {(1 << 4 * DIGITS) - 1}L)), {DIGITS}, '0')" for i in range(samples)) + ")"
-
-    return least.selectExpr(*keys, *(f"{digits(w)} AS {side}" for w, side in zip(weights, sides, strict=True)))
+    terms = terms.join(F.broadcast(draws), (F.col("term") == F.col("head_term")) & (F.col("weight") == F.col("head_weight")), "left")
+    terms = terms.selectExpr(*keys, *weights, "term", "weight", "level", "CASE WHEN draws IS NOT NULL THEN slice(draws, 1, CAST(get(cuts, level) AS INT)) END AS drawn", "CAST(weight AS DOUBLE) * pow(2.0D, 5 - level) * 1.000001D AS reach")
+    here = f"array_remove(array({', '.join(f'CASE WHEN {_near(i)} THEN {_sample(i)} ELSE -1L END' for i in range(samples))}), -1L)"
+    # A column of its own, as what is inside a generator is not compiled; outer, or a filter would be inferred that draws all again.
+    drawn = _hashed(terms, samples, "drawn IS NOT NULL").selectExpr(*keys, *weights, "weight", "level", f"CASE WHEN drawn IS NULL THEN {here} ELSE drawn END AS drawn")
+    found = drawn.selectExpr(*keys, *weights, "weight", "level", "explode_outer(drawn) AS s").where("shiftrightunsigned(s, 63 - level) = 0L")
+    least = found.groupBy(*keys, F.expr("CAST(shiftrightunsigned(s, 16) & 255L AS INT)").alias("sample")).agg(*(F.expr(f"min(CASE WHEN {w} = weight THEN s END) AS {w}") for w in weights))
+    low = f"{(1 << 4 * DIGITS) - 1}L"
+    each = least.groupBy(*keys).agg(*(F.expr(f"sort_array(collect_list(CASE WHEN {w} IS NOT NULL THEN shiftleft(CAST(sample AS BIGINT), 16) | ({w} & {low}) END)) AS {w}") for w in weights))
+    return each.selectExpr(*keys, *(f"CASE WHEN size({w}) = {samples} THEN lower(array_join(transform({w}, s -> lpad(hex(s & {low}), {DIGITS}, '0')), '')) END AS {side}" for w, side in zip(weights, sides, strict=True)))
+
+
+def fingerprints(texts: DataFrame, keys: list[str], sides: tuple[str, ...] = ("fingerprint",), samples: int = SAMPLES, draws: DataFrame | None = None, again: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """keys and a fingerprint for each side: the hex digits of each sample in turn, stored.  texts has text and, if there are several
+    sides, the number of its own (side, from 0).  Where texts is dealt out by some of the keys, nothing is dealt out again; a term that
+    weighs alike on several sides is drawn once.  draws: those of the common terms, if they were made before; again: gives the texts
+    of some keys, if that can be done at less cost than from texts."""
+    draws = common_draws(texts, samples) if draws is None else draws
+    texts = texts if len(sides) > 1 else texts.withColumn("side", F.lit(0))
+    prints = stored(_prints(texts, keys, sides, samples, draws, limits=True), "fingerprints")
+    whole = reduce(lambda a, b: a & b, (F.col(side).isNotNull() for side in sides))
+    short = prints.where(~whole).select(*keys)
+    if short.isEmpty():
+        return prints
+    if again is None:
+        some = short.select(*(F.col(k).alias(f"_{k}") for k in keys))
+        rest = texts.join(some, reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys)), "left_semi")
+    else:
+        rest = again(short)
+    return prints.where(whole).unionByName(stored(_prints(rest, keys, sides, samples, draws, limits=False), "fingerprints"))
 
 
 def likeness(a: str, b: str, samples: int = SAMPLES) -> Column:
@@ -137,23 +173,32 @@ def near_edits(documents: DataFrame) -> DataFrame:
     docs = documents.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     counted = docs.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("copies"), F.max(F.length("text")).alias("n_chars"))
     order = stored(following(counted), "fingerprint-next")
-    # The texts are dealt out once, in more parts than a shuffle's so that a part's terms fit in memory; all below stays there,
-    # but for the beginnings that the document before takes over.
-    own = docs.repartition(4 * partitions(spark), *_KEY).groupBy(*_KEY).agg(F.first("text").alias("text"))
     before = order.select(F.col("next_id").alias("id"), F.col("next_text_hash").alias("text_hash"), F.col("id").alias("taker"), F.col("text_hash").alias("taker_hash"), F.floor(F.col("n_chars") / 3).cast("int").alias("part"))
-    given = own.join(before, list(_KEY)).select(F.col("taker").alias("id"), F.col("taker_hash").alias("text_hash"), F.expr("substring(text, 1, part)").alias("beginning"))
     edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 3) as int))"), "beginning")
-    changed = own.join(given, list(_KEY)).select(*_KEY, "text", edited.alias("edited"))
-    # The digest goes along as a key: one pass over the texts makes all.
-    both = changed.select(*_KEY, F.sha2("edited", 256).alias("edited_sha256"), F.posexplode(F.array("text", "edited")).alias("side", "text"))
+
+    def both(docs: DataFrame, before: DataFrame) -> DataFrame:
+        # The texts are dealt out once, in more parts than a shuffle's so that a part's terms fit in memory; all below stays there,
+        # but for the beginnings that the document before takes over.
+        own = docs.repartition(4 * partitions(spark), *_KEY).groupBy(*_KEY).agg(F.first("text").alias("text"))
+        given = own.join(before, list(_KEY)).select(F.col("taker").alias("id"), F.col("taker_hash").alias("text_hash"), F.expr("substring(text, 1, part)").alias("beginning"))
+        changed = own.join(given, list(_KEY)).select(*_KEY, "text", edited.alias("edited"))
+        # The digest goes along as a key of four longs: one pass over the texts makes all.
+        hashed = changed.withColumn("sha", F.sha2("edited", 256)).select(*_KEY, "text", "edited", *(F.conv(F.substring("sha", 1 + 16 * i, 16), 16, -10).cast("bigint").alias(d) for i, d in enumerate(_DIGEST)))
+        return hashed.select(*_KEY, *_DIGEST, F.posexplode(F.array("text", "edited")).alias("side", "text"))
+
+    def again(some: DataFrame) -> DataFrame:
+        taken = before.join(some.select(F.col("id").alias("taker"), F.col("text_hash").alias("taker_hash")), ["taker", "taker_hash"], "left_semi")
+        needed = some.select(*_KEY).union(taken.select(*_KEY)).distinct()
+        return both(docs.join(needed, list(_KEY), "left_semi"), taken)
+
     draws = common_draws(documents.select(F.coalesce("text", F.lit("")).alias("text")))
-    prints = stored(fingerprints(both, [*_KEY, "edited_sha256"], ("fingerprint", "edited_fingerprint"), draws=draws), "fingerprints")
+    prints = fingerprints(both(docs, before), [*_KEY, *_DIGEST], ("fingerprint", "edited_fingerprint"), draws=draws, again=again)
     ends = prints.select(F.col("id").alias("next_id"), F.col("text_hash").alias("next_text_hash"), F.col("fingerprint").alias("next_print"))
     out = prints.join(order, list(_KEY)).join(ends, ["next_id", "next_text_hash"])
     return out.select(
         F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"),
         F.col("n_chars").cast("bigint").alias("n_chars"),
-        "edited_sha256",
+        F.lower(F.concat(*(F.lpad(F.hex(d), 16, "0") for d in _DIGEST))).alias("edited_sha256"),
         "fingerprint",
         "edited_fingerprint",
         likeness("fingerprint", "edited_fingerprint").alias("near_edited"),

@@ -1,5 +1,7 @@
 """Each test fails where an operator does less than its whole job."""
 
+from pyspark.sql import functions as F
+
 from lexmill.llm import decontaminate, fingerprints, rnn_lm
 
 
@@ -43,3 +45,18 @@ def test_language_model_trains_on_from_the_average(spark, monkeypatch):
     rnn_lm.train(texts, words, vocabulary)
     assert len(begun) >= 2 and (begun[0] != begun[1]).any()
     assert rnn_lm.TRAIN_LANES <= 64
+
+
+def test_fingerprint_limits_lose_no_sample(spark, monkeypatch):
+    # Limits that leave most texts without a value in some sample: these are drawn again, and all prints are as with limits that fit.
+    rows = [(i, " ".join(f"w{(i * j) % 97}" for j in range(i % 40))) for i in range(120)] + [(500, None), (501, "a " * 3000), (502, None)]
+    documents = spark.createDataFrame(rows, "doc_id bigint, text string")
+    draws = fingerprints.common_draws(documents, head=64)
+    none = fingerprints._prints(documents.withColumn("side", F.lit(0)), ["doc_id"], ("fingerprint",), fingerprints.SAMPLES, draws, limits=False)
+    want = {r.doc_id: r.fingerprint for r in none.collect()}
+    assert len(want) == len(rows) and all(len(x) == fingerprints.SAMPLES * fingerprints.DIGITS for x in want.values())
+    assert {r.doc_id: r.fingerprint for r in fingerprints.fingerprints(documents, ["doc_id"], draws=draws).collect()} == want
+    monkeypatch.setattr(fingerprints, "CLOSE", 3)
+    tight = fingerprints._prints(documents.withColumn("side", F.lit(0)), ["doc_id"], ("fingerprint",), fingerprints.SAMPLES, draws, limits=True)
+    assert tight.where("fingerprint is null").count() > 50
+    assert {r.doc_id: r.fingerprint for r in fingerprints.near_edits(documents).collect()} == want
