@@ -1,5 +1,6 @@
 """Each test fails where an operator does less than its whole job."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from lexmill.llm import decontaminate, fingerprints, rnn_lm
@@ -60,3 +61,31 @@ def test_fingerprint_limits_lose_no_sample(spark, monkeypatch):
     tight = fingerprints._prints(documents.withColumn("side", F.lit(0)), ["doc_id"], ("fingerprint",), fingerprints.SAMPLES, draws, limits=True)
     assert tight.where("fingerprint is null").count() > 50
     assert {r.doc_id: r.fingerprint for r in fingerprints.near_edits(documents).collect()} == want
+
+
+def test_language_model_pads_little(monkeypatch):
+    # Words as in texts: a few classes have most rows, and most classes have a few each. Of each token 64 classes, its class's 32 words
+    # and 48 gates need an exponential or a tangent; padding may add a third.
+    rng = np.random.default_rng(1)
+    rank = np.exp(rng.uniform(0, np.log(20_000), 64 * 32 * 6)).astype(int)
+    docs = np.split(np.minimum(rank, rnn_lm.VOCABULARY - 1).astype(np.int16), 64)
+    done = []
+    for name in ("exp", "tanh"):
+        plain = getattr(np, name)
+        monkeypatch.setattr(np, name, lambda x, *a, plain=plain, **b: done.append(np.size(x)) or plain(x, *a, **b))
+    p = rnn_lm.initial(np.full(rnn_lm.VOCABULARY, 5.0))
+    rnn_lm.run(p, docs, 64, {k: np.full_like(v, 1e-3) for k, v in p.items()})
+    assert all(np.isfinite(v).all() for v in p.values())
+    assert sum(done) / len(rank) < (64 + 32 + 48) * 4 / 3
+
+
+def test_language_model_finds_every_head_word():
+    # By first bits or not, a hash is found where the head has it and nowhere else; also the smallest, the largest and close ones.
+    near = np.arange(7, dtype=np.uint64) + np.uint64(1 << 63)
+    hashes = np.unique(np.concatenate((np.random.default_rng(2).integers(0, 1 << 63, 5000).astype(np.uint64) * np.uint64(2), near, np.array([0, (1 << 64) - 1], np.uint64))))
+    words = rnn_lm.Words(hashes, np.arange(len(hashes)) % rnn_lm.VOCABULARY, np.zeros(len(hashes)), 1, 1, 1.0, 0)
+    asked = np.concatenate((hashes, hashes + np.uint64(1), hashes - np.uint64(1)))
+    at, number = rnn_lm._numbers(words, rnn_lm._places(words), asked)
+    own = {h: i for i, h in enumerate(hashes.tolist())}
+    assert at.tolist() == [own.get(h, len(hashes)) for h in asked.tolist()]
+    assert number.tolist() == [own[h] % rnn_lm.VOCABULARY if h in own else rnn_lm.VOCABULARY - 1 for h in asked.tolist()]
